@@ -41,3 +41,28 @@ SELECT doc_id, size, source_size, target,
   (size * (whole + CASE WHEN p > 0 AND (upto <= rest OR upto - rest <= rest - upto + size) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM cumulated
 """
+
+OP6 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+  FROM words),
+sized AS (SELECT doc_id, len(s)::BIGINT AS n_shingles FROM shingled),
+sets AS (SELECT doc_id, len(s)::BIGINT AS n, unnest(s) AS x FROM shingled),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM sets a JOIN sets b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+linked AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM sized
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN linked l ON r.other = l.a)
+SELECT s.doc_id, s.n_shingles, min(r.other)::BIGINT AS component_id, s.doc_id = min(r.other) AS kept
+FROM sized s JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id, s.n_shingles
+"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from refrain.llm import oracle
 from refrain.llm.mixing import op5_pareto_mix
+from refrain.llm.near_dedup import op6_minhash_near_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +16,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op5_pareto_mix": op5_pareto_mix,
+        "op6_minhash_near_dedup": op6_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_pareto_mix": oracle.OP5,
+        "op6_minhash_near_dedup": oracle.OP6,
     }
