@@ -66,3 +66,16 @@ reach AS (
 SELECT s.doc_id, s.n_shingles, min(r.other)::BIGINT AS component_id, s.doc_id = min(r.other) AS kept
 FROM sized s JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id, s.n_shingles
 """
+
+OP9 = r"""
+WITH sized AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+hashed AS (
+  SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM sized),
+firsts AS (
+  SELECT payload_digest, min(page_id) AS first FROM hashed WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM hashed LEFT JOIN firsts USING (payload_digest)
+"""

@@ -7,16 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from refrain.llm import oracle
+from refrain.llm.html_text import op7_html_main_text
 from refrain.llm.mixing import op5_pareto_mix
 from refrain.llm.near_dedup import op6_minhash_near_dedup
+from refrain.llm.packing import op4_best_fit_packing
+from refrain.llm.pii import op8_pii_spans
+from refrain.llm.quality import op3_quality_rules
+from refrain.llm.warc import op9_warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_quality_rules": op3_quality_rules,
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op5_pareto_mix": op5_pareto_mix,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op7_html_main_text": op7_html_main_text,
+        "op8_pii_spans": op8_pii_spans,
+        "op9_warc_round_trip": op9_warc_round_trip,
     }
 
 
@@ -24,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_pareto_mix": oracle.OP5,
         "op6_minhash_near_dedup": oracle.OP6,
+        "op9_warc_round_trip": oracle.OP9,
     }
