@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from refrain.llm import oracle
+from refrain.llm.embedding_dedup import op1_embedding_near_dedup
 from refrain.llm.html_text import op7_html_main_text
 from refrain.llm.mixing import op5_pareto_mix
 from refrain.llm.near_dedup import op6_minhash_near_dedup
@@ -20,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_embedding_near_dedup": op1_embedding_near_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_pareto_mix": op5_pareto_mix,
@@ -32,6 +34,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_embedding_near_dedup": oracle.OP1,
         "op5_pareto_mix": oracle.OP5,
         "op6_minhash_near_dedup": oracle.OP6,
         "op9_warc_round_trip": oracle.OP9,
