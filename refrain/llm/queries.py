@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from refrain.llm import oracle
 from refrain.llm.embedding_dedup import op1_embedding_near_dedup
 from refrain.llm.html_text import op7_html_main_text
+from refrain.llm.line_dedup import op2_line_dedup
 from refrain.llm.mixing import op5_pareto_mix
 from refrain.llm.near_dedup import op6_minhash_near_dedup
 from refrain.llm.packing import op4_best_fit_packing
@@ -22,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
+        "op2_line_dedup": op2_line_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_pareto_mix": op5_pareto_mix,
