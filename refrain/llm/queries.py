@@ -15,6 +15,7 @@ from refrain.llm.near_dedup import op6_minhash_near_dedup
 from refrain.llm.packing import op4_best_fit_packing
 from refrain.llm.pii import op8_pii_spans
 from refrain.llm.quality import op3_quality_rules
+from refrain.llm.secrets import op10_secret_scan
 from refrain.llm.warc import op9_warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,7 @@ def queries() -> dict[str, Query]:
         "op7_html_main_text": op7_html_main_text,
         "op8_pii_spans": op8_pii_spans,
         "op9_warc_round_trip": op9_warc_round_trip,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
