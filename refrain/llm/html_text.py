@@ -131,26 +131,27 @@ def main_text(html: str) -> str:
     content = (level >= level.std()) & (ratio > 0)
     if not content.any():
         content = ratio > 0
-    above = {}  # element -> the elements it is in, itself first
-
-    def path(e: int) -> list[int]:
-        if e not in above:
-            above[e] = [e] + (path(parser.parent[e]) if e else [])
-        return above[e]
-
-    size: dict[int, int] = {}
+    # An element's number is larger than its parent's, so that one pass up or down the numbers is enough.
+    count = len(parser.kind)
+    size, depth = [0] * count, [0] * count
     for (text, _, element, _), good in zip(found, content, strict=True):
-        if good:
-            for e in path(element):
-                size[e] = size.get(e, 0) + len(text)
-    total = size[0]
-    marked_up = {e for e in size if parser.kind[e] in CONTENT}
-    inside = {e for e in marked_up if not any(p in marked_up for p in path(e)[1:])}
-    if sum(size[e] for e in inside) * 2 >= total:
-        roots = inside
-    else:  # no article element: the innermost one that holds nearly all of the regions
-        roots = {max((e for e in size if size[e] * 10 >= total * 9), key=lambda e: len(path(e)))}
-    return "\n".join(t for t, _, e, skipped in found if not skipped and any(x in roots for x in path(e)))
+        size[element] += len(text) if good else 0
+    for e in range(count - 1, 0, -1):
+        size[parser.parent[e]] += size[e]
+    outer = [-1] * count  # the outermost article or main element that it is in
+    for e in range(1, count):
+        depth[e] = depth[parser.parent[e]] + 1
+        outer[e] = outer[parser.parent[e]]
+        if outer[e] < 0 and size[e] and parser.kind[e] in CONTENT:
+            outer[e] = e
+    roots = {e for e in outer if e >= 0}
+    if sum(size[e] for e in roots) * 2 < size[0] or not roots:
+        # No article element: the innermost one that holds nearly all of the regions.
+        roots = {max((e for e in range(count) if size[e] * 10 >= size[0] * 9), key=depth.__getitem__)}
+    inside = [e in roots for e in range(count)]
+    for e in range(1, count):
+        inside[e] = inside[e] or inside[parser.parent[e]]
+    return "\n".join(t for t, _, e, skipped in found if not skipped and inside[e])
 
 
 def extract(pages: DataFrame) -> DataFrame:

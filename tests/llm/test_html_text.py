@@ -43,7 +43,7 @@ def test_pages(page, expected):
 
 
 def test_nulls_repeats_and_broken_markup(spark):
-    rows = [(1, "u", None, 5), (None, None, "<article><p>x</p></article>", 6), (2, "u", "<p" * 3000, 7), (2, "u", "</div>" * 500 + "<article>ok", 8), (3, "u", "<div>" * 800 + "deep", 9)]
+    rows = [(1, "u", None, 5), (None, None, "<article><p>x</p></article>", 6), (2, "u", "<p" * 3000, 7), (2, "u", "</div>" * 500 + "<article>ok", 8), (3, "u", "<div>" * 5000 + "deep", 9)]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")).collect()
     assert sorted((r["page_id"] or 0, r["text"]) for r in got if r["page_id"] != 2) == [(0, "x"), (1, ""), (3, "deep")]
     assert "ok" in [r["text"] for r in got if r["page_id"] == 2]
