@@ -139,16 +139,39 @@ def quality(docs: DataFrame, labels: DataFrame, *, least_words: int = 10, most_r
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            failed = (batch["n_words"] < least_words) | (100 * batch["n_repeat_words"] > most_repeat * batch["n_words"])
-            score = model.score(batch[list(STATISTICS)].to_numpy(float)) if model else np.full(len(batch), np.nan)
-            out = batch[["doc_id", *COUNTS]].copy()
-            out["base_failed"], out["score"] = failed, score
-            out["kept"] = ~failed & ((score >= cut) if model else True)
+            out = pd.concat([batch[["doc_id", *COUNTS]], verdict(batch, model, least_words, most_repeat, cut)], axis=1)
             yield out.astype({"doc_id": "Int64"})
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, kept boolean"
     return stats.mapInPandas(run, schema)
 
 
+def verdict(stats: pd.DataFrame, model: Forest | None, least_words: int, most_repeat: int, cut: float) -> pd.DataFrame:
+    """base_failed, score and kept of rows of statistics."""
+    failed = (stats["n_words"] < least_words) | (100 * stats["n_repeat_words"] > most_repeat * stats["n_words"])
+    score = model.score(stats[list(STATISTICS)].to_numpy(float)) if model else np.full(len(stats), np.nan)
+    return pd.DataFrame({"base_failed": failed, "score": score, "kept": ~failed & ((score >= cut) if model else True)}, index=stats.index)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, least_words: int = 10, most_repeat: int = 20, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that ``quality`` keeps, with all their columns, without moving a text.
+
+    The statistics of the labelled documents come from one pass, for the fit; a second pass
+    computes each text's statistics again and filters the row where it stands.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    known = scratch.table(document_statistics(docs), "stats")
+    model = fit_quality(known, labels, sample)
+    scratch.drop(known)
+    cut = float(np.log(threshold / (1 - threshold)))
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        stats = pd.DataFrame([statistics(t or "") for t in texts], columns=[*COUNTS, *STATISTICS])
+        return verdict(stats, model, least_words, most_repeat, cut)["kept"].astype(bool)
+
+    return docs.filter(good(F.col("text")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
