@@ -125,6 +125,36 @@ def exact_top_k(queries: DataFrame, catalogue: DataFrame, k: int, threshold: flo
     return good.select(*fields, "values").mapInPandas(run, schema)
 
 
+def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, cosine), a < b, of rows(id, v) of equal length with at least that cosine.
+
+    For at most EXACT_LIMIT rows, which are sent to every task and compared in blocks.
+    """
+    known = rows.limit(EXACT_LIMIT + 1).collect()
+    if len(known) > EXACT_LIMIT:
+        raise ValueError(f"all pairs are for at most {EXACT_LIMIT} vectors")
+    spaces: dict[int, tuple] = {}
+    for size in {len(r["v"]) for r in known}:
+        own = [r for r in known if len(r["v"]) == size]
+        spaces[size] = np.array([r["id"] for r in own]), np.array([r["v"] for r in own], np.float32).astype(np.float64)
+    limit = np.float32(threshold)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for size, part in batch.groupby(batch["v"].map(len).to_numpy()):
+                ids, ref = spaces[size]
+                rr = np.add.accumulate(ref * ref, axis=1)[:, -1]
+                for i, v in zip(part["id"], part["v"], strict=True):
+                    x = v.astype(np.float64)
+                    xx = np.add.accumulate(x * x)[-1]
+                    near = np.flatnonzero((ref @ x >= (threshold - 1e-5) * np.sqrt(rr * xx)) & (ids > i))
+                    exact = (np.add.accumulate(ref[near] * x, axis=1)[:, -1] / np.sqrt(xx * rr[near])).astype(np.float32)
+                    yield pd.DataFrame({"a": i, "b": ids[near][exact >= limit], "cosine": exact[exact >= limit]})
+
+    good = rows.filter(squared_norm(F.col("v")) > 1e-18)
+    return good.select("id", "v").mapInPandas(run, "a long, b long, cosine float")
+
+
 def hash_rows(vectors: DataFrame, column: str, keep: list[str], masks: list[int] | None = None) -> DataFrame:
     """keep, table, hash: a row per table, or per table and mask of changed bits."""
 
@@ -143,6 +173,22 @@ def hash_rows(vectors: DataFrame, column: str, keep: list[str], masks: list[int]
     return rows
 
 
+def lsh_candidates(asked: DataFrame, kept: DataFrame, keys: list[str], fewest: int | None) -> DataFrame:
+    """(query, ref) of asked(query, keys, unit) and kept(ref, keys, q): equal hashes, or one changed
+    bit, in any table. Queries with fewer than ``fewest`` also probe two changed bits; None: none do."""
+    index = hash_rows(kept, "q", ["ref", *keys]).select(*keys, "table", "hash", "ref")
+
+    def found(rows: DataFrame, masks: list[int]) -> DataFrame:
+        return hash_rows(rows, "unit", ["query", *keys], masks).join(index, [*keys, "table", "hash"]).select("query", "ref").distinct()
+
+    near = found(asked, lsh.flips(1))
+    if fewest is None:
+        return near
+    few = asked.join(near.groupBy("query").count(), "query", "left").filter(F.coalesce("count", F.lit(0)) < fewest).drop("count")
+    two = [m for m in lsh.flips(2) if bin(m).count("1") == 2]
+    return near.unionByName(found(few, two)).distinct()
+
+
 def lsh_top_k(queries: DataFrame, catalogue: DataFrame, k: int, threshold: float, by: tuple[str, ...] = ()) -> DataFrame:
     """The same columns as exact_top_k by equi-joins on (space, table, hash).
 
@@ -154,22 +200,12 @@ def lsh_top_k(queries: DataFrame, catalogue: DataFrame, k: int, threshold: float
         {"query": F.monotonically_increasing_id(), "dim": F.size("values"), "unit": normalised(F.col("values"))}
     )
     asked = checkpointed(asked)  # the ids of the queries must not change between its uses
-    kept = catalogue.withColumns({"dim": F.size("q"), "ref": F.struct("sequence", "source_id", "start_s", "end_s")})
-    index = hash_rows(kept, "q", list(dict.fromkeys([*keys, "sequence", "source_id", "start_s", "end_s"])))
-    index = index.select(*keys, "table", "hash", F.struct("sequence", "source_id", "start_s", "end_s").alias("ref"))
-
-    def found(rows: DataFrame, masks: list[int]) -> DataFrame:
-        probes = hash_rows(rows, "unit", ["query", *keys], masks)
-        return probes.join(index, [*keys, "table", "hash"]).select("query", "ref").distinct()
-
-    near = found(asked, lsh.flips(1))
-    few = asked.join(near.groupBy("query").count(), "query", "left").filter(F.coalesce("count", F.lit(0)) < max(64, 8 * k)).drop("count")
-    two = [m for m in lsh.flips(2) if bin(m).count("1") == 2]
-    pairs = near.unionByName(found(few, two)).distinct()
-    hits = kept.select("ref", *keys, "q", "q_norm", *[F.col(c.removeprefix("ref_")).alias(c) for c in HIT])
-    scored = pairs.join(asked, "query").join(hits, ["ref", *keys]).withColumn("similarity", asymmetric_score(F.col("unit"), F.col("q"), F.col("q_norm")))
+    kept = checkpointed(catalogue.withColumns({"dim": F.size("q"), "ref": F.monotonically_increasing_id()}))
+    pairs = lsh_candidates(asked, kept, keys, max(64, 8 * k))
+    hits = kept.select("ref", "sequence", "q", "q_norm", *[F.col(c.removeprefix("ref_")).alias(c) for c in HIT])
+    scored = pairs.join(asked, "query").join(hits, "ref").withColumn("similarity", asymmetric_score(F.col("unit"), F.col("q"), F.col("q_norm")))
     scored = scored.filter(F.col("similarity") >= F.lit(threshold).cast("float"))
-    best = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "ref")
+    best = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "sequence", "ref_source_id", "ref_start_s", "ref_end_s")
     ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select(*[c for c in queries.columns if c != "values"], "similarity", "rank", *HIT)
 
