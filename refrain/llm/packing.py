@@ -16,7 +16,10 @@ its sequence and offset from the runs.
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -26,40 +29,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refrain.llm.scratch import Scratch, read
+from refrain.llm.worker import kept
 
 LENGTH, END = 4096, 1
 
 
+#: A full stop or comma after a letter, before a blank, is a token of its own.
+STOP = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|$)")
+
+
+def cache_parts(text: str) -> list[str]:
+    """Blank-separated parts of a text whose ids, joined, are those of the text.
+
+    The tokenizer lower-cases, drops blanks and never joins letters with signs. So the parts may be
+    split and, in Latin-1, where no character composes with another, lower-cased beforehand:
+    fewer of them differ.
+    """
+    try:
+        text.encode("latin-1")
+        text = text.lower()
+    except UnicodeEncodeError:
+        pass
+    return STOP.sub(r" \1", text).replace("\n", " ").split(" ")
+
+
 def token_pieces(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """(doc_id, text) -> doc_id, piece, start, length, ids_crc32.
 
-    The tokenizer never joins text across blanks, so each blank-separated part is encoded once
-    per task and its ids are reused; the ids are those of the whole text.
+    Each part is encoded once per Python worker, as long as it stays in the cache.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        encoder = Tokenizer.from_file(tokenizer_file)
-        cache: dict[str, bytes] = {}
-        tail = np.uint32(end).astype("<u4").tobytes()
+        encoder = kept(f"tokenizer {tokenizer_file}", lambda: Tokenizer.from_file(tokenizer_file))
+        cache: dict[str, bytes] = kept(f"ids {tokenizer_file}", dict)
+        tail = array("I", [end]).tobytes()
         width = 4 * length
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are taken from memory as little-endian 32-bit integers")
 
         def learn(parts: list[str]) -> None:
             for at in range(0, len(parts), 10_000):
                 some = parts[at : at + 10_000]
-                for part, got in zip(some, encoder.encode_batch(some, add_special_tokens=False), strict=True):
-                    cache[part] = np.asarray(got.ids, "<u4").tobytes()
+                for part, got in zip(some, encoder.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    cache[part] = array("I", got.ids).tobytes()
 
         for batch in batches:
             out = []
-            for at in range(0, len(batch), 200):
-                rows = [(i, (t or "").replace("\n", " ").split(" ")) for i, t in zip(batch["doc_id"].iloc[at : at + 200], batch["text"].iloc[at : at + 200], strict=True)]
+            for at in range(0, len(batch), 500):
+                texts = [cache_parts(t or "") for t in batch["text"].iloc[at : at + 500]]
                 if len(cache) > 1_000_000:
                     cache.clear()
-                learn(list({p for _, parts in rows for p in parts if p not in cache}))
-                for doc_id, parts in rows:
+                learn(list(set().union(*texts) - cache.keys()))
+                for doc_id, parts in zip(batch["doc_id"].iloc[at : at + 500], texts, strict=True):
                     ids = b"".join(map(cache.__getitem__, parts)) + tail
                     for k, start in enumerate(range(0, len(ids), width)):
                         own = ids[start : start + width]
