@@ -203,16 +203,21 @@ def content_components(spark, sf):
     return connected_components(d.join(first, "h").filter("doc_id != a").select("a", F.col("doc_id").alias("b")))
 
 
+def _found(spark, sf):
+    spans_found = checkpointed(duplicates(*_rec(spark, sf), SEARCH).withColumn("match_id", F.monotonically_increasing_id()))
+    return spans_found, _media(spans_found)
+
+
 @query
 def family_stats(spark, sf):
-    m = event_matches(spark, sf)
-    return families(m, _media(m), INFER).groupBy("source_id", "classification", "known_type").agg(F.count("*").alias("families"), F.sum(F.size("occurrences")).alias("occurrences"), six(F.max("confidence")).alias("confidence"))
+    out = families(*_found(spark, sf), INFER)
+    return out.select("source_id", "family_id", "classification", "known_type", six("confidence").alias("confidence"), "typical", F.size("occurrences").alias("occurrences"))
 
 
 @query
 def timeline_labels(spark, sf):
-    m = event_matches(spark, sf)
-    return infer(m, _media(m), INFER).timeline.select("source_id", "seg", "label", "start_s", "end_s", six("confidence").alias("confidence"), six("repeat_coverage").alias("repeat_coverage"), "family_count")
+    out = infer(*_found(spark, sf), INFER).timeline
+    return out.select("source_id", "seg", "label", "start_s", "end_s", six("confidence").alias("confidence"), six("repeat_coverage").alias("repeat_coverage"), "family_count")
 
 
 @query

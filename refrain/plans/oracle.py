@@ -227,11 +227,11 @@ a AS (
   SELECT source_id, size, duration, start_byte // 188 * 188 AS lo, least(size, (end_byte + 187) // 188 * 188) AS hi, i::DOUBLE AS t0, i + 1.0::DOUBLE AS t1
   FROM b JOIN src USING (source_id) WHERE page_id % 3 = 0 AND end_byte > start_byte),
 c AS (
-  SELECT *, coalesce(max(hi) OVER w, 0) AS at, coalesce(max(t1) OVER w, 0) AS time, greatest(lo, coalesce(max(hi) OVER w, 0)) AS first
+  SELECT *, coalesce(max(hi) OVER w, 0) AS pos, coalesce(max(t1) OVER w, 0) AS time, greatest(lo, coalesce(max(hi) OVER w, 0)) AS first
   FROM a WINDOW w AS (PARTITION BY source_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 parts AS (
   SELECT source_id, first, hi AS last, 'programme' AS kind, t0, t1 FROM c WHERE hi > first
-  UNION ALL SELECT source_id, at, first, 'between', time, t0 FROM c WHERE first > at
+  UNION ALL SELECT source_id, pos, first, 'between', time, t0 FROM c WHERE first > pos
   UNION ALL SELECT source_id, coalesce(max(hi), 0), size, 'between', coalesce(max(t1), 0), duration FROM src LEFT JOIN (SELECT source_id, hi, t1 FROM a) USING (source_id) GROUP BY source_id, size, duration HAVING coalesce(max(hi), 0) < size)
 SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY first) AS part, first, last, kind, t0, t1 FROM parts""",
     "part_names": f"""WITH {INT.format('user_id')},
