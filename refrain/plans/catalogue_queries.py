@@ -204,7 +204,7 @@ def content_components(spark, sf):
 
 
 def _found(spark, sf):
-    spans_found = checkpointed(duplicates(*_rec(spark, sf), SEARCH).withColumn("match_id", F.monotonically_increasing_id()))
+    spans_found = checkpointed(duplicates(*_rec(spark, sf), SEARCH).withColumns({"match_id": F.monotonically_increasing_id(), "kind": F.lit("audio_spectrum")}))
     return spans_found, _media(spans_found)
 
 
