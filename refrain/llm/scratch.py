@@ -49,6 +49,12 @@ class Scratch:
         out._scratch_at = at
         return out
 
+    @staticmethod
+    def like(df: DataFrame, table: DataFrame) -> DataFrame:
+        """df, a view of table, to be dropped with it."""
+        df._scratch_at = getattr(table, "_scratch_at", None)
+        return df
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that no later plan reads."""
         for t in tables:
