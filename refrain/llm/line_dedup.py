@@ -2,7 +2,7 @@
 
 Everything is DataFrame and SQL functions. A line's set is its distinct character shingles, one of
 eight lower-cased characters from the start of every word. The hashes of the set are dealt into
-classes by residue, and a class's few smallest ones make a band key: two lines agree in it with
+classes by range, and a class's few smallest ones make a band key: two lines agree in it with
 the probability of as many equal MinHash values, yet each shingle is hashed once. Lines that share
 a key are candidates; their full sets decide.
 
@@ -22,6 +22,8 @@ from refrain.llm.scratch import Scratch, read
 
 BLANK = r"\x20\x09-\x0D"
 SHINGLES = rf"(?s)(?=(.{{1,8}}))[^{BLANK}]+"
+#: Bits of a line's bitmap.
+BITS = 512
 #: tag, least and most words, classes, smallest values of a class
 SCHEMES = ((1, 8, 40, 4, 2), (2, 30, None, 8, 4))
 
@@ -32,24 +34,51 @@ def shingle_set(line: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x))))
 
 
-def band_keys(hashes: Column) -> Column:
-    n = F.size(hashes)
+def bitmap(hashes: Column) -> Column:
+    """BITS bits as an array of 64-bit words; every hash sets one."""
+    one = F.lit(1).cast("long")
 
-    def keys(tag: int, classes: int, values: int) -> Column:
-        some = F.slice(hashes, 1, 8 * classes * values)  # a class needs few of the smallest
+    def word(j: int) -> Column:
+        bit = lambda x: F.when(F.pmod(F.shiftright(x, 6), F.lit(BITS // 64)) == j, F.call_function("shiftleft", one, F.pmod(x, F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x)))
 
-        def key(j: Column) -> Column:
-            own = F.slice(F.filter(some, lambda x: F.pmod(x, F.lit(classes)) == j), 1, values)
-            return F.when(F.size(own) > 0, F.xxhash64(F.lit(tag), j, own))
+    return F.array(*map(word, range(BITS // 64)))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), key)
 
-    none = F.array().cast("array<bigint>")
-    parts = [
-        F.when((n >= least) & (F.lit(most is None) | (n <= (most or 0))), keys(tag, classes, values)).otherwise(none)
-        for tag, least, most, classes, values in SCHEMES
-    ]
-    return F.filter(F.concat(*parts), lambda k: k.isNotNull())
+def may_link(x: str, y: str, percent: int) -> Column:
+    """False only for sets that cannot be similar enough.
+
+    A bit that one bitmap has and the other lacks stands for a hash that the other set lacks: so
+    each set's size less such bits bounds the intersection.
+    """
+
+    def lacks(a: str, b: str) -> Column:
+        out = F.lit(0)
+        for j in range(BITS // 64):
+            out = out + F.bit_count(F.col(f"{a}.bits")[j].bitwiseAND(F.bitwise_not(F.col(f"{b}.bits")[j])))
+        return out
+
+    both = F.least(F.col(f"{x}.n") - lacks(x, y), F.col(f"{y}.n") - lacks(y, x))
+    return 100 * both >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - both)
+
+
+def with_band_keys(rows: DataFrame) -> DataFrame:
+    """rows(hashes, ...) with ``keys`` instead of hashes, a sorted array.
+
+    A class is a range of hash values: its smallest ones follow the range's first value, which is
+    put among the hashes to be found, without a function per element.
+    """
+    n = F.size("hashes")
+    cuts = {tag: [-(2**63) + k * (2**64 // classes) + 1 for k in range(classes)] for tag, _, _, classes, _ in SCHEMES}
+    for tag, least, most, _, _ in SCHEMES:
+        fits = (n >= least) if most is None else n.between(least, most)
+        rows = rows.withColumn(f"s{tag}", F.when(fits, F.sort_array(F.concat("hashes", F.array(*map(F.lit, cuts[tag])).cast("array<bigint>")))))
+    keys = []
+    for tag, _, _, _, values in SCHEMES:
+        for k, cut in enumerate(cuts[tag]):
+            own = F.slice(f"s{tag}", F.array_position(f"s{tag}", F.lit(cut).cast("long")).cast("int") + 1, values)
+            keys.append(F.when(F.size(own) > 0, F.xxhash64(F.lit(tag), F.lit(k), own)))
+    return rows.withColumn("keys", F.filter(F.array(*keys), lambda k: k.isNotNull())).drop("hashes", *[f"s{tag}" for tag in cuts])
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -64,11 +93,11 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 75) -> DataF
     hashed = lines_of(docs).select(
         "doc_id", "row", "line_no", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), shingle_set(F.col("line")).alias("hashes")
     )
-    lines = scratch.table(hashed.select("doc_id", "row", "line_no", "id", "id2", band_keys(F.col("hashes")).alias("keys")), "lines")
+    lines = scratch.table(with_band_keys(hashed), "lines")
     place = F.struct("doc_id", "row", "line_no")
-    exact = scratch.table(lines.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "exact")
+    exact = scratch.table(lines.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "exact")
 
-    keyed = lines.select(F.explode("keys").alias("bucket"), "id")
+    keyed = exact.select("id", F.negative("n").alias("weight"), F.explode("keys").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("bucket")
     buckets = scratch.table(keyed.join(shared, "bucket").distinct(), "candidates")
     members = buckets.select("id").distinct()
@@ -84,14 +113,19 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 75) -> DataF
         joined = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("ha") + F.size("hb")).alias("sum"))
         return joined.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
-    components = linked_components(buckets, verify, scratch)
+    facts = scratch.table(sets.select("id", F.size("hashes").alias("n"), bitmap(F.col("hashes")).alias("bits")), "facts")
+    components = linked_components(buckets, verify, scratch, guard=(facts, lambda x, y: may_link(x, y, percent)))
+    scratch.drop(facts)
+    scratch.drop(sets, buckets)
     groups = exact.join(components.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 OR component IS NOT NULL")
     groups = groups.select("id", "id2", "first", F.coalesce("component", "id").alias("c"), F.when(F.col("component").isNull(), F.col("id2")).alias("c2"))
     groups = scratch.table(groups, "groups")
     first = groups.groupBy("c", "c2").agg(F.min("first").alias("keep")).withColumnsRenamed({"c": "d", "c2": "d2"})
     verdict = groups.join(first, (F.col("c") == F.col("d")) & F.col("c2").eqNullSafe(F.col("d2"))).select("id", "id2", "keep")
     gone = lines.select("doc_id", "row", "line_no", "id", "id2").join(verdict, ["id", "id2"]).filter(place != F.col("keep"))
-    return scratch.table(gone.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone")), "gone")
+    gone = scratch.table(gone.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone")), "gone")
+    scratch.drop(lines, exact, groups)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, *, percent: int = 75, keep: tuple[str, ...] = ()) -> DataFrame:
