@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from refrain.llm.scratch import Scratch, read
 
-#: Runs of 16 and more; a run starts where no letter, digit or joining sign stands before it.
-CANDIDATE = r"(?<![\p{L}\p{N}+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![\p{L}\p{N}])"
+#: Runs of 16 and more; a run starts where no letter, digit or joining sign stands before it. Up to two
+#: signs = at its end are padding and its own, unless a value follows them: then it is a key.
+CANDIDATE = r"(?<![\p{L}\p{N}+/_-])[A-Za-z0-9+/_-]{16,}+(?![\p{L}\p{N}])(?:={1,2}+(?![\p{L}\p{N}]))?+"
 BEFORE = 40
 SECRET_WORDS = "token|secret|passw|pwd|api.?key|access.?key|auth|credential|private|bearer"
 PLAIN_WORDS = "sha[0-9]|md5|checksum|digest|commit|integrity|hash|uuid|version|revision|build|order|invoice|etag"
@@ -113,6 +114,15 @@ def labelled_findings(spark: SparkSession, rows: int = 3600, first: int = 0) ->
         (F.concat(F.lit("sha512-"), F.substring(b64, 1, 60)), F.lit('integrity="'), src, 0),
         (F.conv(F.substring(sha, 1, 15), 16, 10), F.lit("card "), src, 0),
         (F.concat(F.lit("4"), F.lpad(F.conv(F.substring(sha, 1, 12), 16, 10), 15, "7")), F.lit("token of "), src, 0),
+        (F.concat(F.lit("ghp_"), F.substring(b64, 5, 36)), F.lit("API_TOKEN="), src, 1),
+        (F.substring(sha, 1, 32), F.lit("/v1/items?access_token="), src, 1),
+        (F.substring(b64, 1, 40), F.lit("export AWS_SECRET_ACCESS_KEY="), src, 1),
+        (F.substring(b64, F.lit(7), (F.lit(16) + i % 20).cast("int")), F.lit(";User=app;Password="), src, 1),
+        (F.concat_ws("_", word(0), F.lit("secret"), word(1), F.lit("key")), F.lit("export "), src, 0),
+        (F.upper(F.concat_ws("_", word(0), word(1), F.lit("api_token"))), F.lit("\n"), src, 0),
+        (F.substring(sha, 1, 40), F.lit("GIT_COMMIT="), src, 0),
+        (uuid, F.lit("/cart?order="), src, 0),
+        (F.concat_ws("-", word(0), word(1), word(2), word(3)), F.lit("/list?next_token_page="), src, 0),
     ]
     one = F.element_at(
         F.array(*[F.struct(m.alias("match"), b.alias("before"), p.alias("path"), F.lit(s).cast("double").alias("secret")) for m, b, p, s in forms]),

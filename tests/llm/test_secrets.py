@@ -4,7 +4,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from refrain.llm.secrets import FEATURES, features, fit_forest, labelled_findings, op10_secret_scan, scan, vote
+from refrain.llm.secrets import FEATURES, candidates, features, fit_forest, labelled_findings, op10_secret_scan, scan, vote
 
 
 @pytest.fixture(scope="module")
@@ -52,5 +52,29 @@ def test_query_finds_every_planted_token(spark):
     assert extra <= 1
 
 
+KEY_VALUE = [
+    ("API_TOKEN={}", "ghp_EhtHdKdZkkopKcSkEvtuMbmqp0ZGaEDvzEp2"),
+    ("see https://example.org/a?access_token={}&x", "abcdef0123456789abcdef0123456789"),
+    ("\naws_secret_access_key={}\n", "wJalrXUtnFEMIq7MDENGbPxRfiCYzT4kLk9Qe2Za"),
+    ("Server=db;User=app;Password={};Pooling=true", "k9Zq2Lw8Xr5Tb1Vn7Ym4"),
+    ("client_secret_value_of_app={}", "Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MGFiY2RlZg=="),
+]
+
+
+def test_finds_values_straight_after_a_key(spark, trees):
+    rows = [(i, form.format(value), "src1") for i, (form, value) in enumerate(KEY_VALUE)]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["secrets"]] for r in scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), trees).collect()}
+    for i, (form, value) in enumerate(KEY_VALUE):
+        at = form.index("{}")
+        assert (i, got[i]) == (i, [(at, at + len(value))])
+
+
+def test_proposes_keys_and_values_apart(spark):
+    text = "API_TOKEN=ghp_abcdefghijklmnopqrstuvwx0123456789 a_key_of_twenty_or_so=Zm9vYmFyYmF6cXV4MTIz== Zm9vYmFyYmF6cXV4MTIz===x"
+    found = spark.createDataFrame([(text,)], "text string").select(candidates(F.col("text")).alias("c")).first()["c"]
+    assert [c["match"] for c in found] == ["ghp_abcdefghijklmnopqrstuvwx0123456789", "a_key_of_twenty_or_so", "Zm9vYmFyYmF6cXV4MTIz==", "Zm9vYmFyYmF6cXV4MTIz=="]
+    assert all(text[c["start"] : c["end"]] == c["match"] for c in found)
+
+
 def test_empty_table(spark, trees):
     assert scan(spark.createDataFrame([], "doc_id long, text string, source string"), trees).count() == 0
