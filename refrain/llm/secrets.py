@@ -178,17 +178,19 @@ SPAN = "array<struct<start:bigint,end:bigint,match:string,before:string>>"
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start, end, match, before>> in code points, end exclusive."""
+    """array<struct<start, end, match, before>> in code points, end exclusive; before: the BEFORE characters of the text."""
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
         end = start + F.length(x["match"])
-        one = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["match"].alias("match"), F.substring(x["gap"], -BEFORE, BEFORE).alias("before"))
-        return F.struct(end.cast("long").alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
+        before = F.substring(F.concat(state["tail"], x["gap"]), -BEFORE, BEFORE)
+        one = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["match"].alias("match"), before.alias("before"))
+        tail = F.substring(F.concat(before, x["match"]), -BEFORE, BEFORE)
+        return F.struct(end.cast("long").alias("at"), tail.alias("tail"), F.concat(state["found"], F.array(one)).alias("found"))
 
     matches = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     gaps = F.slice(F.split(text, CANDIDATE, -1), 1, F.size(matches))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("found"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("found"))
     found = F.aggregate(F.arrays_zip(gaps.alias("gap"), matches.alias("match")), zero, step, lambda s: s["found"])
     return F.when(text.rlike(CANDIDATE), found).otherwise(F.array().cast(SPAN))
 

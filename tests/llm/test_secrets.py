@@ -76,5 +76,13 @@ def test_proposes_keys_and_values_apart(spark):
     assert all(text[c["start"] : c["end"]] == c["match"] for c in found)
 
 
+def test_before_reaches_over_the_previous_candidate(spark):
+    text = 'é😀 ' * 20 + 'aws_secret_access_key = "wJalrXUtnFEMIq7MDENGbPxRfiCYzT4kLk9Qe2Za" and next_page_of_orders'
+    found = spark.createDataFrame([(text,)], "text string").select(candidates(F.col("text")).alias("c")).first()["c"]
+    assert len(found) == 3
+    assert [c["before"] for c in found] == [text[: c["start"]][-40:] for c in found]
+    assert 'aws_secret_access_key = "' in found[1]["before"]
+
+
 def test_empty_table(spark, trees):
     assert scan(spark.createDataFrame([], "doc_id long, text string, source string"), trees).count() == 0
