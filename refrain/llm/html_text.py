@@ -3,7 +3,8 @@
 The standard library's streaming parser turns a page into lines: the text between two block
 tags, with the number of tags on the way. A line's text-to-tag ratio, smoothed by a Gaussian,
 is compared with the page's threshold; runs of lines above it are the content regions. The
-regions say which element of the page is the article. Its whole text is then returned, short lines
+regions say which element of the page is the article: an article or main element, else the innermost
+one with all of the regions, and the headings just before it. Its whole text is then returned, short lines
 too, without the parts that are not reading matter by their tag, role or class.
 """
 
@@ -38,6 +39,10 @@ HINTS = frozenset(
 )
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 CONTENT = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Never a page's article by themselves; a cell is one when it holds other blocks.
+TEXT = HEADINGS | frozenset("p pre blockquote li dt dd ul ol dl tr tbody thead tfoot table caption figure figcaption address summary".split())
+CELLS = frozenset(["td", "th"])
 
 
 def marked(attrs: list[tuple[str, str | None]]) -> bool:
@@ -145,13 +150,23 @@ def main_text(html: str) -> str:
         if outer[e] < 0 and size[e] and parser.kind[e] in CONTENT:
             outer[e] = e
     roots = {e for e in outer if e >= 0}
-    if sum(size[e] for e in roots) * 2 < size[0] or not roots:
-        # No article element: the innermost one that holds nearly all of the regions.
-        roots = {max((e for e in range(count) if size[e] * 10 >= size[0] * 9), key=depth.__getitem__)}
+    whole = sum(size[e] for e in roots) * 2 < size[0] or not roots
+    if whole:
+        # No article element: the innermost one that holds all of the regions and is more than a block of text.
+        root = max((e for e in range(count) if size[e] == size[0]), key=depth.__getitem__)
+        holds = set(parser.parent)
+        while parser.kind[root] in TEXT or (parser.kind[root] in CELLS and root not in holds):
+            root = parser.parent[root]
+        roots = {root}
     inside = [e in roots for e in range(count)]
     for e in range(1, count):
         inside[e] = inside[e] or inside[parser.parent[e]]
-    return "\n".join(t for t, _, e, skipped in found if not skipped and inside[e])
+    kept = [line for line in found if not line[3]]
+    first = next((i for i, line in enumerate(kept) if inside[line[2]]), 0)
+    while whole and first and parser.kind[kept[first - 1][2]] in HEADINGS:
+        first -= 1
+        inside[kept[first][2]] = True
+    return "\n".join(t for t, _, e, _ in kept if inside[e])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -42,6 +42,20 @@ def test_pages(page, expected):
     assert main_text(page) == expected
 
 
+@pytest.mark.parametrize(
+    "page,expected",
+    [
+        (f"<body><h1>Title</h1><p>{LONG * 9}</p><p>Short end.</p></body>", f"Title\n{(LONG * 9).strip()}\nShort end."),
+        (f"<body><h1>Title</h1><div><p>{LONG * 9}</p><p>{LONG * 9}</p></div><p>Short end.</p></body>", f"Title\n{(LONG * 9).strip()}\n{(LONG * 9).strip()}\nShort end."),
+        (f"<body><h1>Title</h1><ul><li>{LONG * 9}</ul><p>Short end.</p></body>", f"Title\n{(LONG * 9).strip()}\nShort end."),
+        (f"<body><table><tr><td><p>{LONG}</p><p>Be.</p></td></tr></table></body>", f"{LONG.strip()}\nBe."),
+        (f"<body><h1>Title</h1><h2>By</h2><h3>On</h3><div>{'<p>' + LONG + '</p>'}{('<p>' + LONG * 9 + '</p>') * 4}</div></body>", "\n".join(["Title", "By", "On", LONG.strip(), *[(LONG * 9).strip()] * 4])),
+    ],
+)
+def test_no_block_beside_the_largest_is_lost(page, expected):
+    assert main_text(page) == expected
+
+
 def test_nulls_repeats_and_broken_markup(spark):
     rows = [(1, "u", None, 5), (None, None, "<article><p>x</p></article>", 6), (2, "u", "<p" * 3000, 7), (2, "u", "</div>" * 500 + "<article>ok", 8), (3, "u", "<div>" * 5000 + "deep", 9)]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")).collect()
