@@ -37,6 +37,10 @@ HINTS = frozenset(
     subscription signup login popup modal overlay share sharing social related recommended comment comments reply replies respond disqus
     widget widgets pagination pager paging toolbar disclaimer skip copyright paywall""".split()
 )
+#: A hint word after or before one of these tells of the layout: has-sidebar, comments-open.
+QUALIFIERS, STATES = frozenset("has no not with without is".split()), frozenset("open closed enabled disabled on off".split())
+#: Characters of a paragraph.
+PARAGRAPH = 140
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 CONTENT = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -46,23 +50,33 @@ CELLS = frozenset(["td", "th"])
 
 
 def marked(attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether role, class, id, hidden or aria-hidden says that a part is not reading matter."""
+    """Whether role, hidden or aria-hidden says that a part is not reading matter."""
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
         if name == "role" and value and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and value and any(x.lower() in HINTS for x in PIECES.findall(value)):
-            return True
+    return False
+
+
+def hinted(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether a word of class or id, in none of the forms that tell of the layout, says so."""
+    for name, value in attrs:
+        if name in ("class", "id") and value:
+            for token in value.split():
+                words = [x.lower() for x in PIECES.findall(token)]
+                for k, word in enumerate(words):
+                    if word in HINTS and QUALIFIERS.isdisjoint(words[:k]) and STATES.isdisjoint(words[k + 1 : k + 2]):
+                        return True
     return False
 
 
 class Lines(HTMLParser):
-    """lines: [text pieces, tags, element, skipped]; parent: each element's; kind: its tag."""
+    """lines: [text pieces, tags, element, skipped]; parent: each element's; kind: its tag; hint: whether its class or id is a hint."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parent, self.kind = [-1], ["#root"]
+        self.parent, self.kind, self.hint = [-1], ["#root"], [False]
         self.open: list[tuple[str, int, bool]] = [("#root", 0, False)]
         self.lines: list[list] = [[[], 0, 0, False]]
 
@@ -82,7 +96,8 @@ class Lines(HTMLParser):
             elif tag == "hr":
                 self.line()
             return
-        if tag in INLINE and not (attrs and marked(attrs)):
+        hint = bool(attrs) and tag not in ("html", "body", *CONTENT) and hinted(attrs)
+        if tag in INLINE and not hint and not (attrs and marked(attrs)):
             return
         if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
             self.leave(tag, implied=True)
@@ -91,6 +106,7 @@ class Lines(HTMLParser):
             skipped = True
         self.parent.append(self.open[-1][1])
         self.kind.append(tag)
+        self.hint.append(hint)
         self.open.append((tag, len(self.kind) - 1, skipped))
         self.line()
 
@@ -120,6 +136,30 @@ def smoothed(ratio: np.ndarray, radius: int = 2) -> np.ndarray:
     return np.convolve(padded, weights, "valid") / np.convolve(np.pad(np.ones(len(ratio)), radius), weights, "valid")
 
 
+def under_hints(parser: Lines, found: list[tuple]) -> list[bool]:
+    """For each element whether its class or id, or that of one around it, keeps it out.
+
+    One with most of the page's text is no such part where no article or main element stands free of them,
+    or inside one that has no paragraph besides.
+    """
+    count = len(parser.kind)
+    under, article, total = list(parser.hint), [k in CONTENT for k in parser.kind], [0] * count
+    for e in range(1, count):
+        under[e] = under[e] or under[parser.parent[e]]
+        article[e] = article[e] or article[parser.parent[e]]
+    if sum(len(text) for text, _, e, skipped in found if article[e] and not under[e] and not skipped) >= PARAGRAPH:
+        return under
+    free = any(k in CONTENT and not u for k, u in zip(parser.kind, under, strict=True))
+    for text, _, e, skipped in found:
+        total[e] += 0 if skipped else len(text)
+    for e in range(count - 1, 0, -1):
+        total[parser.parent[e]] += total[e]
+    under = [hint and (total[e] * 2 <= total[0] or (free and not article[e])) for e, hint in enumerate(parser.hint)]
+    for e in range(1, count):
+        under[e] = under[e] or under[parser.parent[e]]
+    return under
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
@@ -129,6 +169,9 @@ def main_text(html: str) -> str:
         text = " ".join("".join(pieces).split())
         if text:
             found.append((text, tags, element, skipped))
+    if any(parser.hint):
+        under = under_hints(parser, found)
+        found = [(text, tags, e, skipped or under[e]) for text, tags, e, skipped in found]
     if not found or all(f[3] for f in found):
         return ""
     ratio = np.array([0.0 if skipped else len(text) / (tags + 1) for text, tags, _, skipped in found])

@@ -56,6 +56,26 @@ def test_no_block_beside_the_largest_is_lost(page, expected):
     assert main_text(page) == expected
 
 
+@pytest.mark.parametrize(
+    "page,expected",
+    [
+        (f"<article class='post comments-open'><p>{LONG}</p><p>Be.</p></article>", f"{LONG.strip()}\nBe."),
+        (f"<div class='content has-sidebar'><p>{LONG}</p><p>Be.</p></div><div class=sidebar>{LONG}</div>", f"{LONG.strip()}\nBe."),
+        (f"<main id='no-sidebar'><p>{LONG}</p></main>", LONG.strip()),
+        (f"<main class='sharing'><p>{LONG}</p><div class=share>Send</div></main>", LONG.strip()),
+        (f"<div class='share-container'><h1>T</h1><p>{LONG}</p><p>{LONG}</p><div class=related>More</div></div>", f"T\n{LONG.strip()}\n{LONG.strip()}"),
+        (f"<div class='share-container'><article><p>{LONG}</p></article></div>", LONG.strip()),
+        (f"<article><h1>T</h1><div class='share-container'><p>{LONG}</p></div></article>", f"T\n{LONG.strip()}"),
+        (f"<article><p>Be.</p></article><div class=ad>{LONG}</div>", "Be."),
+        (f"<article></article><div class=ad>{LONG}</div>", ""),
+        (f"<article><p>{LONG}</p></article><div id=comments><p>{LONG * 5}</p><p>{LONG * 5}</p></div>", LONG.strip()),
+        (f"<article><p>{LONG}</p><div class=comments><p>{LONG * 5}</p></div></article>", LONG.strip()),
+    ],
+)
+def test_wrappers_with_hint_words_keep_their_text(page, expected):
+    assert main_text(page) == expected
+
+
 def test_nulls_repeats_and_broken_markup(spark):
     rows = [(1, "u", None, 5), (None, None, "<article><p>x</p></article>", 6), (2, "u", "<p" * 3000, 7), (2, "u", "</div>" * 500 + "<article>ok", 8), (3, "u", "<div>" * 5000 + "deep", 9)]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")).collect()
