@@ -20,6 +20,8 @@ from refrain.options import AUDIO_SPACE, EXACT_LIMIT, VIDEO_SPACE, SearchOptions
 from refrain.sources.store import checkpointed
 
 META = ("source_id", "source_name", "source_path", "source_type", "extractor_id", "kind", "start_s", "end_s", "start_byte", "end_byte")
+#: Rows of a side that one task compares at once where both sides are dealt into blocks.
+BLOCK = 8192
 SPACE = ("extractor_id", "kind", "dim")
 HIT = ["ref_source_id", "ref_source_name", "ref_source_path", "ref_source_type", "ref_start_s", "ref_end_s", "ref_start_byte", "ref_end_byte"]
 
@@ -82,15 +84,55 @@ def _ordered(rows: list) -> list:
     return sorted(rows, key=lambda r: (r["sequence"], r["source_id"], r["start_s"], r["end_s"]))
 
 
+def _in_blocks(rows: DataFrame, own: str, other: str, blocks: int, others: Column) -> DataFrame:
+    """rows with ``own``, the block that a row's hash deals it into, once for each block ``other`` in others."""
+    return rows.withColumn(own, F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)).cast("int")).withColumn(other, F.explode(others))
+
+
+def _blocked_top_k(queries: DataFrame, catalogue: DataFrame, k: int, threshold: float) -> DataFrame:
+    """exact_top_k for catalogues of any size: every block of queries meets every block of stored vectors."""
+    asked = queries.filter(squared_norm(F.col("values")) > 1e-20).withColumn("query", F.monotonically_increasing_id().cast("string"))
+    asked = checkpointed(asked)  # the ids must not change between its uses, and are text, which stays exact beside nulls
+    kept = catalogue.select("extractor_id", "kind", F.size("q").alias("dim"), "sequence", "q", "q_norm", *[F.col(c.removeprefix("ref_")).alias(c) for c in HIT])
+    n, m = (max(1, -(-df.count() // BLOCK)) for df in (asked, kept))
+    left = asked.select("query", "extractor_id", "kind", F.size("values").alias("dim"), "values")
+    left = _in_blocks(left, "x", "y", n, F.sequence(F.lit(0), F.lit(m - 1)))
+    right = _in_blocks(kept, "y", "x", m, F.sequence(F.lit(0), F.lit(n - 1)))
+    limit, columns = np.float32(threshold), ["query", "similarity", "sequence", *HIT]
+
+    def run(both: pd.DataFrame) -> pd.DataFrame:
+        a, b = both[both["query"].notna()], both[both["query"].isna()]
+        if a.empty or b.empty:
+            return both.assign(similarity=np.float32(0))[columns].iloc[:0]
+        b = b.sort_values(["sequence", "ref_source_id", "ref_start_s", "ref_end_s"], kind="stable").reset_index(drop=True)
+        ref = {"q": np.stack(b["q"]).astype(np.int8), "q_norm": b["q_norm"].to_numpy(np.float32)}
+        take, places, scores = [], [], []
+        for i, near, score in _best(_unit(np.stack(a["values"]).astype(np.float32)), ref, limit, k):
+            take += [i] * len(near)
+            places += list(near)
+            scores += list(score)
+        out = b.iloc[places].reset_index(drop=True)
+        out["query"], out["similarity"] = a["query"].to_numpy()[take], np.array(scores, np.float32)
+        return out[columns]
+
+    types = {f.name: f.dataType.simpleString() for f in kept.schema}
+    schema = ", ".join(["query string, similarity float", *(f"{c} {types[c]}" for c in columns[2:])])
+    left = left.withColumns({c: F.lit(0).cast("long") for c in ("sequence", "ref_start_byte", "ref_end_byte")})  # nulls would make them floats
+    found = left.unionByName(right, allowMissingColumns=True).groupBy(*SPACE, "x", "y").applyInPandas(run, schema)
+    best = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "sequence", "ref_source_id", "ref_start_s", "ref_end_s")
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.join(asked, "query").select(*[c for c in queries.columns if c != "values"], "similarity", "rank", *HIT)
+
+
 def exact_top_k(queries: DataFrame, catalogue: DataFrame, k: int, threshold: float) -> DataFrame:
     """queries with similarity, rank and the HIT columns of their k best stored vectors.
 
-    For catalogues of at most EXACT_LIMIT vectors: that many are sent to every task, and a query
-    is answered where it stands, without a shuffle.
+    Catalogues of at most EXACT_LIMIT vectors are sent to every task, and a query is answered
+    where it stands, without a shuffle; larger ones are compared in blocks.
     """
     rows = catalogue.select(*META, "sequence", F.size("q").alias("dim"), "q", "q_norm").limit(EXACT_LIMIT + 1).collect()
     if len(rows) > EXACT_LIMIT:
-        raise ValueError(f"exact search is for at most {EXACT_LIMIT} vectors")
+        return _blocked_top_k(queries, catalogue, k, threshold)
     spaces: dict[tuple, dict] = {}
     for r in _ordered(rows):
         spaces.setdefault((r["extractor_id"], r["kind"], r["dim"]), []).append(r)
@@ -125,14 +167,41 @@ def exact_top_k(queries: DataFrame, catalogue: DataFrame, k: int, threshold: flo
     return good.select(*fields, "values").mapInPandas(run, schema)
 
 
+def _blocked_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """similar_pairs for any number of rows: every block meets itself and those after it."""
+    good = rows.filter(squared_norm(F.col("v")) > 1e-18).select("id", "v", F.size("v").alias("dim"))
+    n = max(1, -(-good.count() // BLOCK))
+    dealt = _in_blocks(good, "own", "other", n, F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+    limit = np.float32(threshold)
+
+    def run(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
+        a, b = (both[both["own"] == block] for block in key[1:])
+        out = [pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64), "cosine": np.array([], np.float32)})]
+        if len(a) and len(b):
+            ids, ref = b["id"].to_numpy(), np.stack(b["v"]).astype(np.float64)
+            rr = np.add.accumulate(ref * ref, axis=1)[:, -1]
+            for i, v in zip(a["id"], a["v"], strict=True):
+                x = v.astype(np.float64)
+                xx = np.add.accumulate(x * x)[-1]
+                other = ids > i if key[1] == key[2] else ids != i
+                near = np.flatnonzero((ref @ x >= (threshold - 1e-5) * np.sqrt(rr * xx)) & other)
+                exact = (np.add.accumulate(ref[near] * x, axis=1)[:, -1] / np.sqrt(xx * rr[near])).astype(np.float32)
+                near, exact = near[exact >= limit], exact[exact >= limit]
+                out.append(pd.DataFrame({"a": np.minimum(ids[near], i), "b": np.maximum(ids[near], i), "cosine": exact}))
+        return pd.concat(out, ignore_index=True)
+
+    return dealt.groupBy("dim", "x", "y").applyInPandas(run, "a long, b long, cosine float")
+
+
 def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b, cosine), a < b, of rows(id, v) of equal length with at least that cosine.
 
-    For at most EXACT_LIMIT rows, which are sent to every task and compared in blocks.
+    At most EXACT_LIMIT rows are sent to every task; more are dealt into blocks, which are compared in pairs.
     """
     known = rows.limit(EXACT_LIMIT + 1).collect()
     if len(known) > EXACT_LIMIT:
-        raise ValueError(f"all pairs are for at most {EXACT_LIMIT} vectors")
+        return _blocked_pairs(rows, threshold)
     spaces: dict[int, tuple] = {}
     for size in {len(r["v"]) for r in known}:
         own = [r for r in known if len(r["v"]) == size]
