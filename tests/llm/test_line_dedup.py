@@ -1,55 +1,102 @@
 import random
 import re
 
-from refrain.llm.line_dedup import dedup_lines
+import pytest
+
+from refrain.llm.line_dedup import SCHEMES, dedup_lines, shingles, with_band_keys
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def shingles(line):
+def grams(line):
+    """Every run of eight characters; a shorter line is one."""
     low = line.lower()
-    return {low[m.start() : m.start() + 8] for m in WORD.finditer(low)}
+    return {low[i:j] for i in range(len(low)) for j in [i + 8] if j <= len(low)} or {low}
 
 
 def brute(rows, percent=75):
-    """doc_id -> lines that stay, for unique doc_ids."""
+    """doc_id -> lines that stay, for unique doc_ids: every two lines are compared."""
     lines = [(d, n, x) for d, t, *_ in sorted(rows) for n, x in enumerate(t.split("\n")) if WORD.search(x)]
-    part = list(range(len(lines)))
-
-    def root(i):
-        while part[i] != i:
-            i = part[i]
-        return i
-
-    for i in range(len(lines)):
-        for j in range(i):
-            a, b = lines[i][2], lines[j][2]
-            s, t = shingles(a), shingles(b)
-            same = a == b or (min(len(s), len(t)) >= 8 and 100 * len(s & t) >= percent * len(s | t))
-            if same:
-                x, y = sorted((root(i), root(j)))
-                part[y] = x
-    gone = {lines[i][:2] for i in range(len(lines)) if root(i) != i}
+    sets = [grams(x) for _, _, x in lines]
+    near = {i: {j for j in range(len(lines)) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) or lines[i][2] == lines[j][2]} for i in range(len(lines))}
+    seen, gone = set(), set()
+    for i in range(len(lines)):  # the first of a component is met first
+        todo = [] if i in seen else [i]
+        while todo:
+            j = todo.pop()
+            if j not in seen:
+                seen.add(j)
+                todo += near[j]
+                if j != i:
+                    gone.add(lines[j][:2])
     return {d: "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone) for d, t, *_ in rows}
 
 
+def texts(spark, rows):
+    got = dedup_lines(spark.createDataFrame([(d, t, "s", "g") for d, t in rows], "doc_id long, text string, source string, gone string").repartition(6))
+    return {r["doc_id"]: r["text"] for r in got.collect()}
+
+
 def test_equals_brute_force(spark):
     rng = random.Random(2)
     words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
-    base = [" ".join(rng.choices(words, k=n)) for n in (9, 12, 20, 31, 38, 45, 80, 200, 500) for _ in range(4)]
+    base = [" ".join(rng.choices(words, k=n)) for n in (1, 3, 5, 9, 12, 20, 31, 45, 80, 200, 500) for _ in range(4)]
 
     def near(line):
         w = line.split(" ")
-        for _ in range(len(w) // 40 + (len(w) > 18)):
+        for _ in range(len(w) // 60 + (len(w) > 9)):
             w[rng.randrange(len(w))] = rng.choice(words)
         return " ".join(w)
 
     rows = []
     for d in range(60):
-        own = [rng.choice([rng.choice(base), near(rng.choice(base)), " ".join(rng.choices(words, k=25)), "Short line.", "", "  \t "]) for _ in range(rng.randint(1, 8))]
-        rows.append((d, "\n".join(own), "s", "g"))
-    got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string, gone string").repartition(6)).collect()}
-    assert got == brute(rows)
+        own = [rng.choice([rng.choice(base), near(rng.choice(base)), rng.choice(base) + "!", " ".join(rng.choices(words, k=25)), "Short line.", "", "  \t "]) for _ in range(rng.randint(1, 8))]
+        rows.append((d, "\n".join(own)))
+    assert texts(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize(
+    "a,b,linked",
+    [
+        (" ".join(f"prefixed{x}one" for x in "abcdefghij"), " ".join(f"prefixed{x}two" for x in "klmnopqrst"), False),  # words agree in eight characters
+        ("Subscribe to our weekly newsletter today", "Subscribe to our weekly newsletter today!", True),
+        ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0", True),
+        ("x1y2z3" * 16, "x1y2z3" * 16 + ".", True),
+        ("".join(chr(0x4E00 + i * 7) for i in range(60)), "".join(chr(0x4E00 + i * 7) for i in range(59)), True),  # no blanks
+        ("abcdefg", "abcdefg!", False),
+        ("https://example.org/" + "a1b2c3d4" * 9, "https://example.org/" + "e5f6a7b8" * 9, False),
+    ],
+)
+def test_whole_lines_are_compared(spark, a, b, linked):
+    rows = [(1, a), (2, b)]
+    assert brute(rows)[2] == ("" if linked else b)
+    assert texts(spark, rows) == brute(rows)
+
+
+def test_shingles_are_those_of_every_position(spark):
+    lines = ["", "a", "abcdefgh", "abcdefghi", "é" * 7 + "xyz", "𝒳 y" * 30, *("".join(random.Random(n).choices("abcdefgh 𝒳é", k=n)) for n in range(9, 80))]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    one = df.select("line", F.size(F.array_distinct(shingles(F.col("line")))).alias("n")).collect()
+    assert all(r["n"] == len(grams(r["line"])) for r in one)
+    own = df.select("line", shingles(F.col("line")).alias("h"))
+    expected = spark.createDataFrame([(x, sorted(grams(x))) for x in lines], "line string, g array<string>").select("line", F.transform("g", lambda x: F.xxhash64(x)).alias("e"))
+    assert own.join(expected, "line").filter(F.sort_array(F.array_distinct("h")) != F.sort_array("e")).count() == 0
+
+
+@pytest.mark.parametrize("n,least", [(12, 0.97), (60, 0.99), (110, 0.99), (400, 0.96)])
+def test_recall_of_the_bands_just_above_the_threshold(spark, n, least):
+    """Pairs of sets of n hashes with the least similarity that links them."""
+    rng = random.Random(n)
+    own = -(-(3 * n) // 4)  # so many of n in common with a subset: a similarity of 0.75 and a bit
+    pairs = []
+    for i in range(2000):
+        big = [rng.randrange(-(2**63), 2**63) for _ in range(n)]
+        pairs += [(i, sorted(big)), (i, sorted(rng.sample(big, own)))]
+    keyed = with_band_keys(spark.createDataFrame(pairs, "i int, hashes array<bigint>")).groupBy("i").agg(F.collect_list("keys").alias("k"))
+    found = keyed.filter(F.arrays_overlap(F.col("k")[0], F.col("k")[1])).count()
+    assert found / 2000 >= least
+    assert {s[0] for s in SCHEMES} == {1, 2}
 
 
 def test_odd_rows(spark):
