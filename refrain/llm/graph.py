@@ -8,15 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refrain.llm.scratch import Scratch
 
 #: Rows of two or three integers that one task of a graph step should see at least.
 TASK_ROWS = 100_000
-#: Members of a bucket that one key of a join holds at most.
-BLOCK = 1024
 
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
@@ -75,25 +73,20 @@ def linked_components(
     scratch: Scratch,
     *,
     sift: Callable[[DataFrame], DataFrame] | None = None,
-    guard: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None,
     hubs: int = 1,
     most_pairs: int = 4,
 ) -> DataFrame:
     """buckets(bucket, id long) -> (node, component) by the pairs of a bucket that verify links.
 
-    A column ``weight`` says which member is a hub first: the one with the least, then the least id.
+    A column ``weight`` says which member is the first hub: the one with the least, then the least id.
 
     Two members of a bucket that no link joins yet are still to be compared; members of one
     component need no comparison, since only components are asked for. So a bucket of a
     thousand near copies costs a thousand comparisons with its hub, not half a million. A round
-    compares each bucket's hub with the members outside the hub's component; the hub has then met
-    all and leaves the bucket. After ``hubs``
+    compares each bucket's hub with the members outside the hub's component. After ``hubs``
     rounds all that is left is compared, which leaves no pair out: by ``sift``, which maps
     rows(bucket, id, c, n), c the component and n the bucket's size, to the links between different
-    components in a bucket; or by ``guard``, a function that gives a table of facts by id for a table of ids,
-    and a condition on two structs of facts that every link meets, which a join checks before it
-    makes a row; buckets of more than BLOCK members are dealt into blocks, which meet in pairs. Without either
-    the pairs are joined, once they number at
+    components in a bucket. Without it the pairs are joined, once they number at
     most ``most_pairs`` times the rows (or 200 thousand); until then the rounds go on with other hubs.
     ``verify`` maps pairs(a, b), a < b, to those that are links.
     """
@@ -110,7 +103,8 @@ def linked_components(
         else:
             known = components.select(F.col("node").alias("id"), "component")
             placed = live.join(known, "id", "left").select("bucket", "id", "weight", F.coalesce("component", "id").alias("c"))
-        hub = F.min(F.struct("weight", "id", "c")).alias("hub")
+        order = F.struct("weight", "id") if k == 0 else F.xxhash64("id", F.lit(k))
+        hub = F.min(F.struct(order.alias("o"), "id", "c")).alias("hub")
         mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), hub, F.count("*").alias("n")).filter("low < high")
         mixed = mixed.select("bucket", "n", F.col("hub.id").alias("hub"), F.col("hub.c").alias("hub_c"))
         placed = scratch.table(_few(placed.join(mixed, "bucket"), size), "placed")
@@ -118,14 +112,12 @@ def linked_components(
         if not rows:
             break
         finish = k >= hubs
-        if finish and sift is None and guard is None:
+        if finish and sift is None:
             by = placed.groupBy("bucket", "c").agg(F.count("*").alias("m"), F.max("n").alias("n"))
             left = by.agg(F.sum(F.col("m") * (F.col("n") - F.col("m")) / 2)).first()[0]
             finish = left <= max(most_pairs * size, 200_000)
         if finish and sift is not None:
             pairs = sift(placed.select("bucket", "id", "c", "n")).distinct()
-        elif finish and guard is not None:
-            pairs = _guarded(placed, guard, scratch)
         elif finish:
             x, y = (placed.select("bucket", F.col("id").alias(v), F.col("c").alias(f"c{v}")) for v in "ab")
             pairs = x.join(y, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
@@ -151,23 +143,8 @@ def linked_components(
         if finish:
             break
         scratch.drop(live)
-        live = scratch.like(placed.filter(F.col("id") != F.col("hub")).select("bucket", "id", "weight"), placed)
+        live = scratch.like(placed.select("bucket", "id", "weight"), placed)
         k += 1
     if components is None:
         components = live.select(F.col("bucket").alias("node"), F.col("id").alias("component")).limit(0)
     return components
-
-
-def _guarded(placed: DataFrame, guard: tuple, scratch: Scratch) -> DataFrame:
-    """pairs(a, b) of placed(bucket, id, c, n) in different components that the guard lets through."""
-    facts, may = guard
-    known = facts(placed.select("id").distinct())
-    known = known.select("id", F.struct(*[c for c in known.columns if c != "id"]).alias("f"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rich = scratch.table(placed.select("bucket", "id", "c", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own")).join(known, "id"), "guarded")
-    # Rows of a block meet those of the same block and, once for each two blocks, those of the others.
-    x = rich.select(F.col("bucket").alias("other"), F.col("id").alias("a"), F.col("c").alias("ca"), F.col("f").alias("fa"), F.col("own").alias("oa"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("meets"))
-    y = rich.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("f").alias("fb"), "own")
-    once = (F.col("a") < F.col("b")) | (F.col("oa") != F.col("own"))
-    on = (F.col("other") == F.col("bucket")) & (F.col("meets") == F.col("own")) & once & (F.col("oa") <= F.col("own")) & (F.col("ca") != F.col("cb")) & may("fa", "fb")
-    return x.join(y, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

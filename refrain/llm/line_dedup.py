@@ -1,145 +1,234 @@
 """Operator 2, line dedup: exact lines by hash, fuzzy lines by MinHash, one line per component.
 
-Everything is DataFrame and SQL functions. Equal lines are one before anything else is done with
-them. A line's set is its distinct shingles: the eight lower-cased characters from every position
-of the whole line (a line of fewer is one shingle). Two lines are similar with a Jaccard similarity
-of 0.75 of these sets.
-
-The signature follows from one hash per shingle. The hashes lie on a circle; a band starts at a
-fixed point and takes the next few of the set, so that two lines agree in a band with the probability
-of as many equal MinHash values. Sets of up to 128 shingles have eight bands of two values, those
-of 96 and more eight of three; the overlap is wider than the threshold lets similar lines differ.
-At a similarity of exactly 0.75 that misses 0.2 % of pairs of short lines and 1.3 % of long ones, at
-0.85 one in two thousand. Lines that share a band are candidates, whose full sets are compared;
-a union-find over the links gives the components.
+A line's set is its distinct shingles: the eight lower-cased characters from every position of the
+whole line; a line of fewer is one shingle. Lines are similar with a Jaccard similarity of 0.75 of these
+sets, at any length.
+
+One pass over the texts hashes and signs the lines, equal ones of a batch once; equal lines are
+then one before anything is compared. The signature has 24 MinHash values in eight bands of three:
+that misses 1.3 % of the pairs at a similarity of exactly 0.75, 0.3 % at 0.8 and one in 5,000 at 0.85. Lines that share
+a band are candidates. A task gets up to BLOCK lines of a band, and the first line of the band with them, and
+compares the full sets of those that no link joins yet; a union-find over the links gives the components.
+Bands of more lines are then compared block by block where components are still apart.
+
+Shingles are cut with numpy: SQL functions over every position of every line take three
+times the CPU time that the operator may take (README).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm.graph import linked_components
+from refrain.llm.graph import connected_components
+from refrain.llm.near_dedup import hash_parameters, least_matches
 from refrain.llm.scratch import Scratch, read
 
-BLANK = r"\x20\x09-\x0D"
-#: Characters of a shingle; positions of a chunk, of which a function's argument list takes the shingles.
-WIDTH, CHUNK = 8, 16
-#: Bits of a line's bitmap.
-BITS = 512
-#: tag, least and most shingles, bands, values of a band
-SCHEMES = ((1, 1, 128, 8, 2), (2, 96, None, 8, 3))
-
-
-def shingles(line: Column) -> Column:
-    """Hashes of the line's character shingles, repeats included.
-
-    The line is cut into chunks of CHUNK positions, each with the characters that its last shingle
-    needs, so that a shingle is found from its chunk's start and any line is passed over once.
-    """
-    low, whole = F.lower(line), CHUNK + WIDTH - 1
-    cut = F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{WIDTH},{whole}}})).{{1,{CHUNK}}}"), F.lit(1))
-    chunks = F.when(F.length(low) < WIDTH, F.array(low)).otherwise(cut)
-
-    def of(chunk: Column) -> Column:
-        last = F.greatest(F.lit(1), F.length(chunk) - (WIDTH - 1))  # of a line's last chunk, which may be short
-        full = F.array(*[F.xxhash64(F.substring(chunk, i + 1, WIDTH)) for i in range(CHUNK)])
-        short = F.array(*[F.xxhash64(F.substring(chunk, F.least(F.lit(i + 1), last), F.lit(WIDTH))) for i in range(CHUNK)])
-        return F.when(F.length(chunk) == whole, full).otherwise(short)
-
-    return F.flatten(F.transform(chunks, of))
-
-
-def bitmap(hashes: Column) -> Column:
-    """BITS bits as an array of 64-bit words; every hash sets one."""
-    one = F.lit(1).cast("long")
-
-    def word(j: int) -> Column:
-        bit = lambda x: F.when(F.pmod(F.shiftright(x, 6), F.lit(BITS // 64)) == j, F.call_function("shiftleft", one, F.pmod(x, F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x)))
-
-    return F.array(*map(word, range(BITS // 64)))
-
-
-def may_link(x: str, y: str, percent: int) -> Column:
-    """False only for sets that cannot be similar enough.
-
-    A bit that one bitmap has and the other lacks stands for a hash that the other set lacks: so
-    each set's size less such bits bounds the intersection.
-    """
-
-    def lacks(a: str, b: str) -> Column:
-        out = F.lit(0)
-        for j in range(BITS // 64):
-            out = out + F.bit_count(F.col(f"{a}.bits")[j].bitwiseAND(F.bitwise_not(F.col(f"{b}.bits")[j])))
-        return out
-
-    both = F.least(F.col(f"{x}.n") - lacks(x, y), F.col(f"{y}.n") - lacks(y, x))
-    return 100 * both >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - both)
-
-
-def with_band_keys(rows: DataFrame) -> DataFrame:
-    """rows(hashes, ...), sorted and distinct, with ``keys`` instead of hashes.
-
-    The bands' starts are put among the hashes: a start's place there, less the starts before
-    it, is how many hashes come before the band. At the end the circle begins anew.
+BLANKS = " \t\n\v\f\r"
+#: Characters of a shingle, bands and values of a band; lines of a band that one task compares.
+WIDTH, BANDS, ROWS, BLOCK = 8, 8, 3, 1024
+#: Characters whose shingles are hashed at once; what fills up a line shorter than a shingle and is in no text.
+CHUNK, PAD = 1 << 16, "\udfff"
+FACTORS, MORE, MIX = hash_parameters(BANDS * ROWS, 21).astype(np.uint32), hash_parameters(64, 22).astype(np.uint32), hash_parameters(ROWS, 23)
+PLACE = ("doc_id", "row", "line_no")
+
+
+def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of all lines, one line after the other, and where each line's begin."""
+    low = [x if len(x) >= WIDTH else x + PAD * (WIDTH - len(x)) for x in map(str.lower, lines)]
+    sizes = np.fromiter(map(len, low), np.int64, len(low))
+    ends = sizes.cumsum()
+    h = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    inside = np.ones(len(h), bool)  # not those that reach into the next line
+    for k in range(1, WIDTH):
+        inside[ends - k] = False
+    factor = 0x9E3779B97F4A7C15
+    for step in (1, 2, 4):  # a polynomial of 2, 4, then 8 characters
+        h = h[:-step] * np.uint64(pow(factor, step, 1 << 64)) + h[step:]
+    h = h[inside[: len(h)]]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    starts = ends - (WIDTH - 1) * np.arange(1, len(low) + 1) - (sizes - WIDTH + 1)
+    return h, starts
+
+
+def minima(h: np.ndarray, starts: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """[lines, factors] the smallest value of each line's shingles under each multiplication."""
+    mixed = (h >> np.uint64(32)).astype(np.uint32)
+    return np.stack([np.minimum.reduceat(mixed * f, starts) for f in factors], axis=1)
+
+
+def chunks(lines: list[str]) -> Iterator[list[str]]:
+    """lines in parts of about CHUNK characters."""
+    part, size = [], 0
+    for x in lines:
+        part.append(x)
+        size += len(x)
+        if size >= CHUNK:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """[lines, BANDS] keys; lines with equal sets have equal ones."""
+    out = [np.empty((0, BANDS), np.uint64)]
+    for part in chunks(lines):
+        values = minima(*shingles(part), FACTORS).astype(np.uint64).reshape(len(part), BANDS, ROWS)
+        keys = np.zeros((len(part), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+        for k in range(ROWS):
+            keys = (keys ^ values[:, :, k]) * MIX[k]
+            keys ^= keys >> np.uint64(31)
+        out.append(keys)
+    return np.concatenate(out)
+
+
+def usable(docs: DataFrame) -> DataFrame:
+    """doc_id, row (a hash of the text), text of the rows that have both."""
+    return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("row"), "text")
+
+
+def signed_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, row, line_no (from 0), id, id2 (the line's hash), keys of every line that holds a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, found, at = [], {}, []
+            for k, text in enumerate(batch["text"].to_pylist()):
+                for n, line in enumerate(text.split("\n")):
+                    if line.strip(BLANKS):
+                        place.append((k, n))
+                        at.append(found.setdefault(line, len(found)))
+            if not place:
+                continue
+            lines, at = list(found), np.array(at, np.int64)
+            keys = band_keys(lines)[at].view(np.int64)
+            ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines), np.int64).reshape(-1, 2)[at]
+            doc, number = np.array(place, np.int64).T
+            offsets = np.arange(0, keys.size + 1, BANDS, dtype=np.int32)
+            columns = [batch["doc_id"].take(pa.array(doc)), batch["row"].take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(ids[:, 0]), pa.array(ids[:, 1])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], names=[*PLACE, "id", "id2", "keys"])
+
+    doc_id = docs.schema["doc_id"].dataType.simpleString()
+    return usable(docs).mapInArrow(run, f"doc_id {doc_id}, row long, line_no int, id long, id2 long, keys array<long>")
+
+
+def linked(part: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links(a, b) between the components c of part(id, c, own, line) that join all that are similar enough.
+
+    Rows with different ``own`` only are compared where there are several. Two that links
+    already join are not compared, since only components are asked for.
     """
-    n = F.size("hashes")
-    most_bands, most_values = max(s[3] for s in SCHEMES), max(s[4] for s in SCHEMES)
-    cuts = [-(2**63) + k * (2**64 // most_bands) + 1 for k in range(most_bands)]
-    head = F.slice("hashes", 1, most_values)
-    rows = rows.withColumns({"marked": F.sort_array(F.concat("hashes", F.array(*map(F.lit, cuts)).cast("array<bigint>"))), "circle": F.concat("hashes", *[head] * most_values)})
-    rows = rows.withColumn("before", F.array(*[(F.array_position("marked", F.lit(c).cast("long")) - k).cast("int") for k, c in enumerate(cuts)]))
-    keys = []
-    for tag, least, most, bands, values in SCHEMES:
-        fits = (n >= least) if most is None else n.between(least, most)
-        keys += [F.when(fits, F.xxhash64(F.lit(tag), F.lit(k), F.slice("circle", F.col("before")[k * most_bands // bands], values))) for k in range(bands)]
-    return rows.withColumn("keys", F.array_compact(F.array(*keys))).drop("hashes", "marked", "circle", "before")
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of the text), line_no from 0, line, id, id2: the lines that hold a word."""
-    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("row"), "text")
-    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = lines.filter(F.col("line").rlike(f"[^{BLANK}]"))
-    return lines.select("*", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"))
-
-
-def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 75) -> DataFrame:
+    part = part.drop_duplicates("id").sort_values("id")
+    ids, own = part["id"].to_numpy(), part["own"].to_numpy()
+    _, root = np.unique(part["c"].to_numpy(), return_inverse=True)
+    sets, values = [], []
+    for some in chunks(list(part["line"])):
+        h, starts = shingles(some)
+        sets += map(np.unique, np.split(h, starts[1:]))
+        if len(ids) > 16:
+            values.append(minima(h, starts, MORE))
+    sizes = np.array([len(x) for x in sets])
+    values = np.concatenate(values) if values else None
+    least = least_matches(percent / 100, 1e-6, [len(MORE)])[len(MORE)] if values is not None else 0
+    across = len(np.unique(own)) > 1
+    out = []
+    for x in range(len(ids)):
+        may = (root != root[x]) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x]))
+        may[: x + 1] = False
+        if across:
+            may &= own != own[x]
+        others = np.flatnonzero(may)
+        if values is not None and len(others):
+            others = others[(values[others] == values[x]).sum(axis=1) >= least]
+        for y in others:
+            if root[x] != root[y]:
+                both = np.concatenate((sets[x], sets[y]))
+                both.sort()
+                n = int((both[1:] == both[:-1]).sum())
+                if 100 * n >= percent * (len(both) - n):
+                    out.append((int(ids[x]), int(ids[y])))
+                    root[root == root[y]] = root[x]
+    return out
+
+
+def compared(rows: DataFrame, keys: list[str], texts: DataFrame, percent: int) -> DataFrame:
+    """links(a, b) in each group by keys of rows(keys, id, c, own)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            part = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(part):
+                continue
+            key = part[keys].to_numpy()
+            bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(part)]
+            got = [pair for a, b in zip(bounds[:-2], bounds[1:-1], strict=True) for pair in linked(part.iloc[a:b], percent)]
+            yield pd.DataFrame(got, columns=["a", "b"], dtype="int64")
+            rest = part.iloc[bounds[-2] :]  # the last group may go on in the next batch
+        if rest is not None and len(rest):
+            yield pd.DataFrame(linked(rest, percent), columns=["a", "b"], dtype="int64")
+
+    full = rows.join(texts, "id").select(*keys, "id", "c", "own", "line")
+    return full.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
+
+
+def line_components(exact: DataFrame, docs: DataFrame, scratch: Scratch, percent: int, block: int) -> DataFrame:
+    """(node, component) of the lines exact(id, first, keys) that links join."""
+    keyed = exact.select("id", F.explode("keys").alias("bucket"))
+    each = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("total")).filter("n > 1")
+    # Bands with the same lines are one.
+    each = each.groupBy("n", "low", "total").agg(F.min("bucket").alias("bucket")).drop("total")
+    rows = keyed.join(each, "bucket").select("bucket", "id", "n", "low", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = scratch.table(rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "candidates")
+
+    wanted = exact.join(rows.select("id").distinct(), "id", "left_semi").groupBy("first.doc_id", "first.row").agg(F.collect_set(F.struct("first.line_no", "id")).alias("at"))
+    split = usable(docs).join(wanted, ["doc_id", "row"]).select(F.split("text", "\n", -1).alias("all"), "at")
+    picked = split.select(F.explode(F.transform("at", lambda a: F.struct(a["id"].alias("id"), F.element_at("all", a["line_no"] + 1).alias("line")))).alias("x"))
+    texts = scratch.table(picked.select("x.*").dropDuplicates(["id"]), "texts")
+
+    one = rows.select("bucket", F.col("own").alias("block"), "id")
+    hubs = rows.filter("blocks > 1 AND id = low").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id")
+    first = one.unionByName(hubs).select("bucket", "block", "id", F.col("id").alias("c"), F.lit(0).alias("own"))
+    links = scratch.table(compared(first, ["bucket", "block"], texts, percent), "links")
+    found = connected_components(links, scratch)
+
+    big = rows.filter("blocks > 1").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    mixed = big.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("bucket")
+    big = scratch.table(big.join(mixed, "bucket").select("bucket", "id", "c", "own", "blocks"), "apart")
+    if not big.isEmpty():
+        dealt = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("own != other")
+        dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        more = scratch.table(compared(dealt, ["bucket", "i", "j"], texts, percent), "links")
+        if not more.isEmpty():
+            found = connected_components(links.unionByName(more), scratch)
+    scratch.drop(rows, texts, big)
+    return found
+
+
+def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 75, block: int = BLOCK) -> DataFrame:
     """doc_id, row, gone: the numbers of the lines that another one stands for."""
-    equal = lines_of(docs).groupBy("id", "id2").agg(F.min(F.struct("doc_id", "row", "line_no", "line")).alias("first"), F.count("*").alias("n"))
-    exact = scratch.table(equal.select("id", "id2", F.struct("first.doc_id", "first.row", "first.line_no").alias("first"), "n", "first.line"), "exact")
-
-    hashed = exact.select("id", F.negative("n").alias("weight"), F.sort_array(F.array_distinct(shingles(F.col("line")))).alias("hashes"))
-    signed = scratch.table(with_band_keys(hashed), "signed")
-    keyed = signed.select("id", "weight", F.explode("keys").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket")
-    buckets = scratch.table(keyed.join(shared, "bucket"), "candidates")
-    scratch.drop(signed)
-    texts = scratch.table(exact.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "line").dropDuplicates(["id"]), "texts")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
-        sets = pairs.join(a, "a").join(b, "b").select("a", "b", *[shingles(F.col(f"line_{x}")).alias(f"h{x}") for x in "ab"])
-        sizes = sets.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("both"), F.size(F.array_union("ha", "hb")).alias("all"))
-        return sizes.filter(100 * F.col("both") >= percent * F.col("all")).select("a", "b")
-
-    def facts(ids: DataFrame) -> DataFrame:
-        sets = texts.join(ids, "id", "left_semi").select("id", F.array_distinct(shingles(F.col("line"))).alias("hashes"))
-        return sets.select("id", F.size("hashes").alias("n"), bitmap(F.col("hashes")).alias("bits"))
-
-    components = linked_components(buckets, verify, scratch, guard=(facts, lambda x, y: may_link(x, y, percent)))
-    scratch.drop(texts, buckets)
-    groups = exact.drop("line").join(components.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 OR component IS NOT NULL")
+    lines = scratch.table(signed_lines(docs), "lines")
+    place = F.struct(*PLACE)
+    exact = scratch.table(lines.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "exact")
+    components = line_components(exact, docs, scratch, percent, block)
+    groups = exact.drop("keys").join(components.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 OR component IS NOT NULL")
     groups = groups.select("id", "id2", "first", F.coalesce("component", "id").alias("c"), F.when(F.col("component").isNull(), F.col("id2")).alias("c2"))
     groups = scratch.table(groups, "groups")
     scratch.drop(exact)
     first = groups.groupBy("c", "c2").agg(F.min("first").alias("keep")).withColumnsRenamed({"c": "d", "c2": "d2"})
     verdict = groups.join(first, (F.col("c") == F.col("d")) & F.col("c2").eqNullSafe(F.col("d2"))).select("id", "id2", "keep")
-    place = F.struct("doc_id", "row", "line_no")
-    gone = lines_of(docs).drop("line").join(verdict, ["id", "id2"]).filter(place != F.col("keep"))
+    gone = lines.select(*PLACE, "id", "id2").join(verdict, ["id", "id2"]).filter(place != F.col("keep"))
     gone = scratch.table(gone.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone")), "gone")
-    scratch.drop(groups)
+    scratch.drop(lines, groups)
     return gone
 
 

@@ -1,10 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from refrain.llm.line_dedup import SCHEMES, dedup_lines, shingles, with_band_keys
-from pyspark.sql import functions as F
+from refrain.llm.line_dedup import band_keys, dedup_lines, removed_lines, shingles
+from refrain.llm.scratch import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -74,29 +75,36 @@ def test_whole_lines_are_compared(spark, a, b, linked):
     assert texts(spark, rows) == brute(rows)
 
 
-def test_shingles_are_those_of_every_position(spark):
-    lines = ["", "a", "abcdefgh", "abcdefghi", "é" * 7 + "xyz", "𝒳 y" * 30, *("".join(random.Random(n).choices("abcdefgh 𝒳é", k=n)) for n in range(9, 80))]
-    df = spark.createDataFrame([(x,) for x in lines], "line string")
-    one = df.select("line", F.size(F.array_distinct(shingles(F.col("line")))).alias("n")).collect()
-    assert all(r["n"] == len(grams(r["line"])) for r in one)
-    own = df.select("line", shingles(F.col("line")).alias("h"))
-    expected = spark.createDataFrame([(x, sorted(grams(x))) for x in lines], "line string, g array<string>").select("line", F.transform("g", lambda x: F.xxhash64(x)).alias("e"))
-    assert own.join(expected, "line").filter(F.sort_array(F.array_distinct("h")) != F.sort_array("e")).count() == 0
+def test_shingles_are_those_of_every_position():
+    lines = ["a", "abcdefgh", "abcdefghi", "é" * 7 + "xyz", "𝒳 y" * 30, *("".join(random.Random(n).choices("abcdefgh 𝒳é", k=n)) for n in range(9, 80))]
+    h, starts = shingles(lines)
+    seen = {}
+    for line, own in zip(lines, np.split(h, starts[1:]), strict=True):
+        low = line.lower()
+        expected = [low[i : i + 8] for i in range(max(1, len(low) - 7))]
+        assert len(own) == len(expected)
+        for x, y in zip(own, expected, strict=True):
+            assert seen.setdefault(y, x) == x
+    assert len(set(seen.values())) == len(seen)
 
 
-@pytest.mark.parametrize("n,least", [(12, 0.97), (60, 0.99), (110, 0.99), (400, 0.96)])
-def test_recall_of_the_bands_just_above_the_threshold(spark, n, least):
-    """Pairs of sets of n hashes with the least similarity that links them."""
+@pytest.mark.parametrize("n", [12, 60, 110, 400])
+def test_recall_of_the_bands_at_the_threshold(n):
+    """Lines of n shingles of which a quarter is lost at the end: a similarity of 0.75 and a bit."""
     rng = random.Random(n)
-    own = -(-(3 * n) // 4)  # so many of n in common with a subset: a similarity of 0.75 and a bit
-    pairs = []
-    for i in range(2000):
-        big = [rng.randrange(-(2**63), 2**63) for _ in range(n)]
-        pairs += [(i, sorted(big)), (i, sorted(rng.sample(big, own)))]
-    keyed = with_band_keys(spark.createDataFrame(pairs, "i int, hashes array<bigint>")).groupBy("i").agg(F.collect_list("keys").alias("k"))
-    found = keyed.filter(F.arrays_overlap(F.col("k")[0], F.col("k")[1])).count()
-    assert found / 2000 >= least
-    assert {s[0] for s in SCHEMES} == {1, 2}
+    pairs = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n + 7))] * 2 for _ in range(2000)]
+    keys = [band_keys([x[side][: None if side else n + 7 - n // 4] for x in pairs]) for side in (0, 1)]
+    assert (keys[0] == keys[1]).any(axis=1).mean() >= 0.975
+
+
+def test_a_band_of_many_blocks(spark):
+    """Equal bands, blocks of four lines: chains are joined across blocks."""
+    rng = random.Random(5)
+    base = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300))
+    rows = [(i, base[: 300 - 6 * (i % 12)] + "".join(rng.choices("XYZW", k=i % 7))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {r["doc_id"] for r in removed_lines(df, Scratch(spark, "t"), block=4).collect()}
+    assert gone == {d for d, t in brute(rows).items() if not t}
 
 
 def test_odd_rows(spark):
