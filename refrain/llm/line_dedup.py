@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -121,82 +120,124 @@ def signed_lines(docs: DataFrame) -> DataFrame:
     return usable(docs).mapInArrow(run, f"doc_id {doc_id}, row long, line_no int, id long, id2 long, keys array<long>")
 
 
-def linked(part: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links(a, b) between the components c of part(id, c, own, line) that join all that are similar enough.
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of hashes have 100 * intersection >= percent * union."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate((x, y))
+    both.sort()
+    n = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * n >= percent * (len(both) - n)
 
-    Rows with different ``own`` only are compared where there are several. Two that links
-    already join are not compared, since only components are asked for.
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    new = np.empty(len(h), bool)
+    new[0] = True
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h if new.all() else h[new]
+
+
+def sets_of(lines: list[str]) -> list[np.ndarray]:
+    out = []
+    for part in chunks(lines):
+        h, starts = shingles(part)
+        bounds = [*starts.tolist(), len(h)]
+        out += [distinct(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return out
+
+
+def linked(ids: list[int], c: list[int], own: list[int], sets: list[np.ndarray], lines: list[str], percent: int) -> list[tuple[int, int]]:
+    """Links(a, b) between components c of lines that join all that are similar enough.
+
+    Two lines that links already join are not compared, since only components are asked for; nor are
+    two of one value of ``own`` where there are several.
     """
-    part = part.drop_duplicates("id").sort_values("id")
-    ids, own = part["id"].to_numpy(), part["own"].to_numpy()
-    _, root = np.unique(part["c"].to_numpy(), return_inverse=True)
-    sets, values = [], []
-    for some in chunks(list(part["line"])):
-        h, starts = shingles(some)
-        sets += map(np.unique, np.split(h, starts[1:]))
-        if len(ids) > 16:
-            values.append(minima(h, starts, MORE))
+    across = len(set(own)) > 1
+    if len(ids) <= 16:
+        root, out = list(c), []
+        for x in range(len(ids)):
+            for y in range(x + 1, len(ids)):
+                if root[x] != root[y] and not (across and own[x] == own[y]) and similar(sets[x], sets[y], percent):
+                    out.append((ids[x], ids[y]))
+                    old, new = root[y], root[x]
+                    root = [new if r == old else r for r in root]
+        return out
+    root, part, out = np.unique(c, return_inverse=True)[1], np.array(own), []
     sizes = np.array([len(x) for x in sets])
-    values = np.concatenate(values) if values else None
-    least = least_matches(percent / 100, 1e-6, [len(MORE)])[len(MORE)] if values is not None else 0
-    across = len(np.unique(own)) > 1
-    out = []
+    values = np.concatenate([minima(*shingles(some), MORE) for some in chunks(lines)])
+    least = least_matches(percent / 100, 1e-6, [len(MORE)])[len(MORE)]
     for x in range(len(ids)):
         may = (root != root[x]) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x]))
         may[: x + 1] = False
         if across:
-            may &= own != own[x]
+            may &= part != part[x]
         others = np.flatnonzero(may)
-        if values is not None and len(others):
-            others = others[(values[others] == values[x]).sum(axis=1) >= least]
-        for y in others:
-            if root[x] != root[y]:
-                both = np.concatenate((sets[x], sets[y]))
-                both.sort()
-                n = int((both[1:] == both[:-1]).sum())
-                if 100 * n >= percent * (len(both) - n):
-                    out.append((int(ids[x]), int(ids[y])))
-                    root[root == root[y]] = root[x]
+        for y in others[(values[others] == values[x]).sum(axis=1) >= least]:
+            if root[x] != root[y] and similar(sets[x], sets[y], percent):
+                out.append((ids[x], ids[y]))
+                root[root == root[y]] = root[x]
     return out
 
 
 def compared(rows: DataFrame, keys: list[str], texts: DataFrame, percent: int) -> DataFrame:
     """links(a, b) in each group by keys of rows(keys, id, c, own)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def links(columns: list[list], bounds: list[int]) -> pa.RecordBatch:
+        ids, c, own, lines = columns
+        out, first = [], 0
+        while first < len(bounds) - 1:  # groups of a few chunks' characters together
+            last, size = first + 1, 0
+            while last < len(bounds) and (last == first + 1 or size < 4 * CHUNK):
+                size += sum(map(len, lines[bounds[last - 1] : bounds[last]]))
+                last += 1
+            start = bounds[first]
+            sets = sets_of(lines[start : bounds[last - 1]])
+            for a, b in zip(bounds[first : last - 1], bounds[first + 1 : last], strict=True):
+                out += linked(ids[a:b], c[a:b], own[a:b], sets[a - start : b - start], lines[a:b], percent)
+            first = last - 1
+        pairs = np.array([(min(p), max(p)) for p in out], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            part = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            part = pa.Table.from_batches([batch])
+            part = part if rest is None else pa.concat_tables([rest, part]).combine_chunks()
             if not len(part):
                 continue
-            key = part[keys].to_numpy()
-            bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(part)]
-            got = [pair for a, b in zip(bounds[:-2], bounds[1:-1], strict=True) for pair in linked(part.iloc[a:b], percent)]
-            yield pd.DataFrame(got, columns=["a", "b"], dtype="int64")
-            rest = part.iloc[bounds[-2] :]  # the last group may go on in the next batch
+            key = np.stack([part[k].to_numpy() for k in keys])
+            bounds = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
+            if bounds[-1]:
+                yield links([part[k].slice(0, bounds[-1]).to_pylist() for k in ("id", "c", "own", "line")], bounds)
+            rest = part.slice(bounds[-1])  # the last group may go on in the next batch
         if rest is not None and len(rest):
-            yield pd.DataFrame(linked(rest, percent), columns=["a", "b"], dtype="int64")
+            yield links([rest[k].to_pylist() for k in ("id", "c", "own", "line")], [0, len(rest)])
 
     full = rows.join(texts, "id").select(*keys, "id", "c", "own", "line")
-    return full.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
+    return full.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(run, "a long, b long")
 
 
 def line_components(exact: DataFrame, docs: DataFrame, scratch: Scratch, percent: int, block: int) -> DataFrame:
     """(node, component) of the lines exact(id, first, keys) that links join."""
     keyed = exact.select("id", F.explode("keys").alias("bucket"))
-    each = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("total")).filter("n > 1")
+    each = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("total")).filter("n > 1")
     # Bands with the same lines are one.
     each = each.groupBy("n", "low", "total").agg(F.min("bucket").alias("bucket")).drop("total")
     rows = keyed.join(each, "bucket").select("bucket", "id", "n", "low", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     rows = scratch.table(rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "candidates")
+    del keyed, each
+    scratch.free()
 
     wanted = exact.join(rows.select("id").distinct(), "id", "left_semi").groupBy("first.doc_id", "first.row").agg(F.collect_set(F.struct("first.line_no", "id")).alias("at"))
     split = usable(docs).join(wanted, ["doc_id", "row"]).select(F.split("text", "\n", -1).alias("all"), "at")
     picked = split.select(F.explode(F.transform("at", lambda a: F.struct(a["id"].alias("id"), F.element_at("all", a["line_no"] + 1).alias("line")))).alias("x"))
     texts = scratch.table(picked.select("x.*").dropDuplicates(["id"]), "texts")
+    del wanted, split, picked
+    scratch.free()
 
     one = rows.select("bucket", F.col("own").alias("block"), "id")
-    hubs = rows.filter("blocks > 1 AND id = low").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id")
+    hubs = rows.filter("blocks > 1 AND id = low").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "own").filter("block != own").drop("own")
     first = one.unionByName(hubs).select("bucket", "block", "id", F.col("id").alias("c"), F.lit(0).alias("own"))
     links = scratch.table(compared(first, ["bucket", "block"], texts, percent), "links")
     found = connected_components(links, scratch)
@@ -220,6 +261,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 75, block: i
     place = F.struct(*PLACE)
     exact = scratch.table(lines.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "exact")
     components = line_components(exact, docs, scratch, percent, block)
+    scratch.free()
     groups = exact.drop("keys").join(components.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 OR component IS NOT NULL")
     groups = groups.select("id", "id2", "first", F.coalesce("component", "id").alias("c"), F.when(F.col("component").isNull(), F.col("id2")).alias("c2"))
     groups = scratch.table(groups, "groups")

@@ -5,6 +5,7 @@ A table written here cuts the lineage: a lost executor costs a re-read, not a re
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,14 @@ class Scratch:
         df._scratch_at = getattr(table, "_scratch_at", None)
         return df
 
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+        Its cleaner acts when the driver's heap is collected, which a driver with little to do rarely does by itself.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that no later plan reads."""
         for t in tables:
