@@ -82,21 +82,21 @@ FROM hashed LEFT JOIN firsts USING (payload_digest)
 
 OP1 = r"""
 WITH RECURSIVE good AS (
-  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  SELECT r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM (SELECT row_number() OVER () AS r, * FROM embeddings)
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 normed AS (SELECT r, vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM good),
 links AS (
-  SELECT a.vec_id AS a, b.vec_id AS b
+  SELECT a.r AS a, b.r AS b
   FROM normed a JOIN normed b ON a.label = b.label AND len(a.v) = len(b.v) AND a.r <> b.r
   WHERE list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) / (a.norm * b.norm) >= 0.98::DOUBLE),
-counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+counts AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a),
 reach AS (
-  SELECT vec_id, vec_id AS other FROM embeddings
+  SELECT r, r AS other FROM good
   UNION
-  SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a)
-SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, r.low::BIGINT AS component_id, e.vec_id = r.low AS kept
-FROM embeddings e JOIN (SELECT vec_id, min(other) AS low FROM reach GROUP BY vec_id) r USING (vec_id)
-LEFT JOIN counts c USING (vec_id)
+  SELECT x.r, l.b FROM reach x JOIN links l ON x.other = l.a),
+lows AS (SELECT x.r, min(g.vec_id) AS low FROM reach x JOIN good g ON x.other = g.r GROUP BY x.r)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(l.low, e.vec_id)::BIGINT AS component_id, e.vec_id = coalesce(l.low, e.vec_id) AS kept
+FROM (SELECT row_number() OVER () AS r, * FROM embeddings) e LEFT JOIN lows l USING (r) LEFT JOIN counts c USING (r)
 """
