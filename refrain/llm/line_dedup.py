@@ -223,10 +223,12 @@ def line_components(exact: DataFrame, docs: DataFrame, scratch: Scratch, percent
     keyed = exact.select("id", F.explode("keys").alias("bucket"))
     each = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("total")).filter("n > 1")
     # Bands with the same lines are one.
-    each = each.groupBy("n", "low", "total").agg(F.min("bucket").alias("bucket")).drop("total")
+    each = scratch.table(each.groupBy("n", "low", "total").agg(F.min("bucket").alias("bucket")).drop("total"), "bands")
+    scratch.free()
     rows = keyed.join(each, "bucket").select("bucket", "id", "n", "low", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     rows = scratch.table(rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "candidates")
-    del keyed, each
+    bands = each
+    del keyed
     scratch.free()
 
     wanted = exact.join(rows.select("id").distinct(), "id", "left_semi").groupBy("first.doc_id", "first.row").agg(F.collect_set(F.struct("first.line_no", "id")).alias("at"))
@@ -251,7 +253,7 @@ def line_components(exact: DataFrame, docs: DataFrame, scratch: Scratch, percent
         more = scratch.table(compared(dealt, ["bucket", "i", "j"], texts, percent), "links")
         if not more.isEmpty():
             found = connected_components(links.unionByName(more), scratch)
-    scratch.drop(rows, texts, big)
+    scratch.drop(rows, texts, big, bands)
     return found
 
 
