@@ -1,11 +1,14 @@
 """DuckDB statements for the queries that SQL can express over whole tables."""
 
 OP5 = r"""
-WITH sized AS (
+WITH hashed AS (
   SELECT doc_id, source,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS u
+    ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS u,
+    row_number() OVER (PARTITION BY source, doc_id, text) AS i
   FROM documents),
+sized AS (
+  SELECT doc_id, source, size, floor(sqrt(size))::BIGINT AS w, CASE WHEN i = 1 THEN u ELSE ('0x' || substr(md5(u || '|' || i), 1, 15))::BIGINT END AS u FROM hashed),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1]::BIGINT AS weight FROM src),
@@ -27,18 +30,20 @@ plan AS (
 rated AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM plan),
 goal AS (
-  SELECT source, source_size, target, floor(rate)::BIGINT AS whole, rate - floor(rate) AS p,
-    target - floor(rate) * source_size AS rest
-  FROM rated),
-ranked AS (
-  SELECT d.doc_id, d.source, d.size, d.u, g.source_size, g.target, g.whole, g.p, g.rest,
-    CASE WHEN g.p > 0 THEN (((d.u::DOUBLE + 0.5::DOUBLE) / 1152921504606846976::DOUBLE)
-      / (1 - (d.u::DOUBLE + 0.5::DOUBLE) / 1152921504606846976::DOUBLE)) / (g.p / (1 - g.p)) END AS rank
-  FROM sized d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source),
-cumulated AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, u, doc_id, size) AS upto FROM ranked)
+  SELECT source, source_size, target, floor(rate)::BIGINT AS whole, target - floor(rate) * source_size AS rest FROM rated),
+weights AS (SELECT source, w, sum(size)::BIGINT AS words FROM sized WHERE size > 0 GROUP BY ALL),
+rates AS (
+  SELECT g.source, x.w, (g.rest - coalesce(sum(words) OVER (heavy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
+    / (sum(x.w * words) OVER (heavy ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS rate
+  FROM weights x JOIN goal g ON x.source IS NOT DISTINCT FROM g.source WINDOW heavy AS (PARTITION BY x.source ORDER BY x.w DESC)),
+rate_of AS (SELECT source, arg_max(rate, w) AS rate FROM rates WHERE rate * w <= 1 AND rate > 0 GROUP BY source),
+chances AS (
+  SELECT d.*, g.source_size, g.target, g.whole, g.rest, r.rate, least(1.0::DOUBLE, r.rate * d.w) AS p, (d.u::DOUBLE + 0.5::DOUBLE) / 1152921504606846976::DOUBLE AS x
+  FROM sized d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN rate_of r ON d.source IS NOT DISTINCT FROM r.source),
+ranked AS (SELECT *, CASE WHEN p >= 1 THEN 0 ELSE x * (1 - p) / (x * (1 - p) + p * (1 - x)) END AS rank FROM chances),
+cumulated AS (SELECT *, sum(size) OVER (PARTITION BY source, size > 0 ORDER BY rank, u, doc_id, size) AS upto FROM ranked)
 SELECT doc_id, size, source_size, target,
-  (size * (whole + CASE WHEN p > 0 AND (upto <= rest OR upto - rest <= rest - upto + size) THEN 1 ELSE 0 END))::BIGINT AS taken
+  (size * (whole + CASE WHEN rate IS NOT NULL AND (upto <= rest OR upto - rest <= rest - upto + size) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM cumulated
 """
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -46,14 +47,48 @@ def test_targets_and_taken_words(spark):
 
 
 def test_the_draw_is_in_pareto_order(spark):
-    rows = [(i, "w w w", "ab"[i % 2]) for i in range(400)] + [(1000 + i, "w " * 40, "c") for i in range(40)]
-    got = [r for r in mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
-    text = {d: t for d, t, _ in rows}
-    rank = lambda d: int(hashlib.md5(f"17|{d}|{text[d]}".encode()).hexdigest()[:15], 16)
+    """Against the method in plain Python: certain copies, a probability by size, random odds over its odds."""
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.choice([1, 2, 5, 9, 30, 200, 2000]) + f"x{i}", "abc"[i % 3]) for i in range(900)]
+    got = {r["doc_id"]: r for r in mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    expected, size = brute(rows), {d: len(t.split()) for d, t, _ in rows}
+    by_u = by_rank = 0
     for s in "abc":
-        own = sorted((r for r in got if r["source"] == s), key=lambda r: rank(r["doc_id"]))
-        copies = [r["copies"] for r in own]
-        assert copies == sorted(copies, reverse=True)
+        own = [(d, t) for d, t, x in rows if x == s]
+        n, target = expected[s]
+        whole = int(target / n)
+        rest = target - whole * n
+        low, high = 0.0, 1.0
+        for _ in range(200):  # the rate at which the expected words are the remaining ones
+            rate = (low + high) / 2
+            words = sum(min(1, rate * int(size[d] ** 0.5)) * size[d] for d, _ in own)
+            low, high = (rate, high) if words < rest else (low, rate)
+        order, by_hash = [], []
+        for d, t in own:
+            p = min(1, rate * int(size[d] ** 0.5))
+            u = (int(hashlib.md5(f"17|{d}|{t}".encode()).hexdigest()[:15], 16) + 0.5) / 2**60
+            order.append((-1 if p > 1 - 1e-9 else u / (1 - u) / (p / (1 - p)), d))
+            by_hash.append((u, d))
+        taken = {d for d, _ in own if got[d]["copies"] > whole}
+        assert taken == {d for _, d in sorted(order)[: len(taken)]}
+        assert all(got[d]["copies"] in (whole, whole + 1) for d, _ in own)
+        assert abs(sum(size[d] for d in taken) - rest) <= 2001
+        by_u += len(taken ^ {d for _, d in sorted(by_hash)[: len(taken)]})
+        by_rank += len(taken)
+    assert by_u > by_rank / 10  # the order by U alone is another one
+
+
+def test_equal_rows_are_drawn_each(spark):
+    rows = [(None, "w w w", "a")] * 500 + [(None, "w w w w", "a")] * 500 + [(7, "x " * 10, "b")] * 300 + [(9, "y", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mix(df).collect()
+    taken, target = {}, {}
+    for r in got:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        target[r["source"]] = r["target"]
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 10 for s in "abc"), (taken, target)
+    count = lambda rows: Counter((r["doc_id"], r["size"], r["taken"]) for r in rows)
+    assert count(got) == count(mix(df.repartition(2)).collect())
 
 
 def test_odd_tables(spark):
