@@ -37,6 +37,12 @@ HINTS = frozenset(
     subscription signup login popup modal overlay share sharing social related recommended comment comments reply replies respond disqus
     widget widgets pagination pager paging toolbar disclaimer skip copyright paywall""".split()
 )
+#: Words that a class or id may hold beside hints and still name such a part: comment-list, but not share-prices.
+FURNITURE = frozenset(
+    """container wrapper wrap box list bar area block section panel holder inner outer body header title row col column grid item items link links button
+    buttons btn icon icons group slot unit top bottom left right side js module content form posts post articles article stories news count site page main
+    global primary secondary tertiary fixed sticky thread text message info more small large mobile desktop zone region card cards tag tags a x""".split()
+)
 #: A hint word after or before one of these tells of the layout: has-sidebar, comments-open.
 QUALIFIERS, STATES = frozenset("has no not with without is".split()), frozenset("open closed enabled disabled on off".split())
 #: Characters of a paragraph.
@@ -60,11 +66,17 @@ def marked(attrs: list[tuple[str, str | None]]) -> bool:
 
 
 def hinted(attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether a word of class or id, in none of the forms that tell of the layout, says so."""
+    """Whether a class or id is made of hint words, with others only that say nothing of the content.
+
+    In a form that tells of the layout a hint says nothing.
+    """
     for name, value in attrs:
         if name in ("class", "id") and value:
             for token in value.split():
                 words = [x.lower() for x in PIECES.findall(token)]
+                known = [w in HINTS for w in words]
+                if not any(known) or not all(k or w in FURNITURE or w.isdigit() for k, w in zip(known, words, strict=True)):
+                    continue
                 for k, word in enumerate(words):
                     if word in HINTS and QUALIFIERS.isdisjoint(words[:k]) and STATES.isdisjoint(words[k + 1 : k + 2]):
                         return True
@@ -215,7 +227,7 @@ def main_text(html: str) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text (empty if none), n_chars.
 
-    Null html is an empty page. Repeated rows give repeated results; other columns are not read;
+    Null html is an empty page. A page of any length or depth is read whole. Repeated rows give repeated results; other columns are not read;
     an empty table gives no rows. Broken markup is read as far as it goes.
     """
 

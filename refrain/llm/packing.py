@@ -1,16 +1,14 @@
 """Operator 4, best-fit packing in bulk-synchronous rounds.
 
 Documents are tokenised, ended with an id, and cut at the sequence length only if longer. The
-pieces are range-sorted by length, so that a piece's place among those of its length (its rank)
-follows from its place in the sorted table. A gap is the room left in an open sequence.
-
-A round sweeps two sorted lists, lengths and gaps, from the largest length: a length's
-successor is the smallest gap that holds it. Pieces that ask for the same gaps are matched by
-rank, first to first; each matched gap shrinks and takes part again, and what finds no gap opens
-new sequences. Since lengths and gaps are whole numbers up to the sequence length, pieces of one
-length and gaps of one size are runs of ranks: the rounds work on at most that many runs, however
-many documents there are, and a distributed sweep over the sorted pieces then gives each of them
-its sequence and offset from the runs.
+pieces are dealt at random into stripes of about STRIPE pieces, as many as the input needs, which are packed
+side by side; a stripe's own loss is a sequence or so in each. A gap is the room left in an open sequence.
+
+In a stripe, pieces and gaps are sorted by size. A round sweeps both in one ascending list for successors: every piece
+asks for the smallest gap that holds it, and where several ask for one, the largest piece gets it and the others
+go on to the next gaps, in the order of their ranks. So a gap takes the largest piece that fits it and no
+smaller gap takes. Matched gaps shrink and are sorted again, and the rounds go on until no piece finds a
+gap; then sequences are opened with the largest pieces.
 """
 
 from __future__ import annotations
@@ -20,7 +18,6 @@ import re
 import sys
 import zlib
 from array import array
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +29,8 @@ from refrain.llm.scratch import Scratch, read
 from refrain.llm.worker import kept
 
 LENGTH, END = 4096, 1
+#: Pieces that one task packs; bytes of texts and ids that a worker's cache holds, characters of texts encoded at once.
+STRIPE, CACHE, AT_ONCE = 1 << 20, 96 << 20, 4_000_000
 
 
 #: A full stop or comma after a letter, before a blank, is a token of its own.
@@ -53,6 +52,16 @@ def cache_parts(text: str) -> list[str]:
     return STOP.sub(r" \1", text).replace("\n", " ").split(" ")
 
 
+def at_once(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows of batch by at most 500 and, but for a longer single text, AT_ONCE characters."""
+    sizes = batch["text"].str.len().fillna(0).to_numpy().astype(np.int64)
+    first = 0
+    while first < len(batch):
+        n = int(np.searchsorted(sizes[first : first + 500].cumsum(), AT_ONCE, "right"))
+        yield batch.iloc[first : first + max(1, n)]
+        first += max(1, n)
+
+
 def token_pieces(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """(doc_id, text) -> doc_id, piece, start, length, ids_crc32.
 
@@ -65,6 +74,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, end
 
         encoder = kept(f"tokenizer {tokenizer_file}", lambda: Tokenizer.from_file(tokenizer_file))
         cache: dict[str, bytes] = kept(f"ids {tokenizer_file}", dict)
+        held = kept(f"bytes {tokenizer_file}", lambda: [0])
         tail = array("I", [end]).tobytes()
         width = 4 * length
         if sys.byteorder != "little" or array("I").itemsize != 4:
@@ -74,16 +84,19 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, end
             for at in range(0, len(parts), 10_000):
                 some = parts[at : at + 10_000]
                 for part, got in zip(some, encoder.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    cache[part] = array("I", got.ids).tobytes()
+                    cache[part] = ids = array("I", got.ids).tobytes()
+                    held[0] += len(part) + len(ids)
 
         for batch in batches:
             out = []
-            for at in range(0, len(batch), 500):
-                texts = [cache_parts(t or "") for t in batch["text"].iloc[at : at + 500]]
-                if len(cache) > 1_000_000:
+            for some in at_once(batch):
+                texts = [cache_parts(t or "") for t in some["text"]]
+                missing = list(set().union(*texts) - cache.keys())
+                if held[0] + sum(map(len, missing)) > CACHE:
                     cache.clear()
-                learn(list(set().union(*texts) - cache.keys()))
-                for doc_id, parts in zip(batch["doc_id"].iloc[at : at + 500], texts, strict=True):
+                    held[0], missing = 0, list(set().union(*texts))
+                learn(missing)
+                for doc_id, parts in zip(some["doc_id"], texts, strict=True):
                     ids = b"".join(map(cache.__getitem__, parts)) + tail
                     for k, start in enumerate(range(0, len(ids), width)):
                         own = ids[start : start + width]
@@ -93,95 +106,76 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, end
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(counts: dict[int, int], length: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Runs (length, first rank, count, first sequence, offset, sequences apart) for counts by length.
+def sweep(pieces: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of matched pieces and of their gaps, of sizes in any order; each occurs once.
 
-    Sequences are kept as runs of equal gap: (gap, [(first, count), ...]).
+    In the ascending list of both, pieces before gaps of their size, a gap takes the last piece before it
+    that none has taken: pieces open and gaps close brackets, which belong together where they
+    follow each other at one depth.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []  # the sizes in gaps, sorted
-    runs, opened = [], 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap > 0:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(sizes, gap)
-            gaps[gap].append((first, n))
-
-    for size in sorted(counts, reverse=True):
-        rank, left = 0, counts[size]
-        while left:
-            k = bisect_left(sizes, size)  # the successor: the smallest gap that holds this length
-            if k == len(sizes):
-                # None holds it: open sequences, each filled with as many of this length as fit.
-                each = length // size
-                full = left // each
-                for j in range(each if full else 0):
-                    runs.append((size, rank + j * full, full, opened, j * size))
-                if full:
-                    put(length - each * size, opened, full)
-                    opened, rank, left = opened + full, rank + each * full, left - each * full
-                for j in range(left):
-                    runs.append((size, rank + j, 1, opened, j * size))
-                if left:
-                    put(length - left * size, opened, 1)
-                    opened += 1
-                left = 0
-                break
-            gap = sizes[k]
-            first, n = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap]
-                sizes.pop(k)
-            used = min(n, left)
-            runs.append((size, rank, used, first, length - gap))
-            put(gap - size, first, used)
-            if n > used:
-                put(gap, first + used, n - used)
-            rank, left = rank + used, left - used
-    return runs
-
-
-def pack(docs: DataFrame, tokenizer_file: str, *, length: int = LENGTH, end: int = END) -> DataFrame:
+    size = np.concatenate((pieces, gaps))
+    closes = np.arange(len(size)) >= len(pieces)
+    order = np.lexsort((closes, size))
+    step = np.where(closes[order], -1, 1)
+    depth = step.cumsum()
+    depth -= np.minimum(0, np.minimum.accumulate(depth))  # a gap without a piece closes nothing
+    level = np.where(step > 0, depth, depth + 1)
+    free = (step < 0) & (np.concatenate(([0], depth[:-1])) == 0)
+    level[free] = 0
+    by_level = np.argsort(level, kind="stable")
+    opened = order[by_level]
+    pair = (step[by_level][:-1] > 0) & (step[by_level][1:] < 0) & (level[by_level][:-1] == level[by_level][1:])
+    first = np.flatnonzero(pair)
+    return opened[first], opened[first + 1] - len(pieces)
+
+
+def best_fit(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence, from 0, and offset of each piece."""
+    sequence, offset = np.full(len(sizes), -1, np.int64), np.zeros(len(sizes), np.int64)
+    left = np.argsort(-sizes, kind="stable")
+    gaps, owner, opened = np.empty(0, np.int64), np.empty(0, np.int64), 0
+    while len(left):
+        if len(gaps):
+            got, gap = sweep(sizes[left], gaps)
+            if len(got):
+                sequence[left[got]], offset[left[got]] = owner[gap], length - gaps[gap]
+                gaps[gap] -= sizes[left[got]]
+                left = np.delete(left, got)
+                if len(left):
+                    useful = gaps >= sizes[left[-1]]
+                    gaps, owner = gaps[useful], owner[useful]
+                continue
+        # No piece finds a gap. Those above half a sequence open one each, which no two can share; or a quarter of what
+        # the rest needs at least is opened, so that large pieces are not all spread before gaps are known.
+        new = max(int(np.count_nonzero(2 * sizes[left] > length)), -(-int(sizes[left].sum()) // (4 * length)))
+        sequence[left[:new]] = opened + np.arange(new)
+        gaps, owner = np.concatenate((gaps, length - sizes[left[:new]])), np.concatenate((owner, opened + np.arange(new)))
+        opened, left = opened + new, left[new:]
+    return sequence, offset
+
+
+def pack(docs: DataFrame, tokenizer_file: str, *, length: int = LENGTH, end: int = END, stripe: int = STRIPE) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are one piece, the end id. Rows that repeat a doc_id are packed each.
-    An empty table gives no rows. Columns but doc_id and text are not read. Which of several
-    pieces of one length takes a place is decided by (doc_id, piece), nulls first.
+    Null and empty texts are one piece, the end id. Texts of any length are encoded whole. Rows that repeat a doc_id are packed each.
+    An empty table gives no rows. Columns but doc_id and text are not read.
     """
     if length < 1:
         raise ValueError("length must be positive")
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "pack")
-    pieces = scratch.table(token_pieces(docs, tokenizer_file, length, end), "pieces")
-    keys = [F.col("length").desc(), F.col("doc_id").asc_nulls_first(), F.col("piece"), F.col("start")]
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = pieces.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    at = F.monotonically_increasing_id()
-    ordered = scratch.table(ordered.withColumn("part", F.shiftright(at, 33)).withColumn("place", at.bitwiseAND((1 << 33) - 1)), "sorted")
-    # One row per length, and one more per border of the sorted table's parts.
-    borders = ordered.groupBy("part", "length").agg(F.min("place").alias("first"), F.count("*").alias("n")).orderBy("part", "first").collect()
-    counts: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}
-    for b in borders:
-        before[b["part"], b["length"]] = counts.get(b["length"], 0) - b["first"]
-        counts[b["length"]] = counts.get(b["length"], 0) + b["n"]
-    runs = sorted(best_fit(counts, length))
-    sizes, ranks, _, firsts, offsets = (np.array(x, np.int64) for x in (zip(*runs, strict=True) if runs else [()] * 5))
-    shift = np.int64(1) << np.int64(48)
-    starts = sizes * shift + ranks
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            base = np.fromiter((before[k] for k in zip(rows["part"], rows["length"], strict=True)), np.int64, len(rows))
-            rank = base + rows["place"].to_numpy()
-            run = np.searchsorted(starts, rows["length"].to_numpy() * shift + rank, "right") - 1
-            yield rows.assign(sequence_id=firsts[run] + rank - ranks[run], offset=offsets[run])[
-                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-            ].astype({"doc_id": "Int64"})
-
-    return ordered.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    scratch = Scratch(docs.sparkSession, "pack")
+    pieces = token_pieces(docs, tokenizer_file, length, end)
+    pieces = scratch.table(pieces.withColumn("at", F.monotonically_increasing_id()), "pieces")
+    stripes = max(1, -(-pieces.count() // stripe))
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sequence, offset = best_fit(rows["length"].to_numpy(), length)
+        return rows[names].assign(sequence_id=sequence + (np.int64(key[0]) << 40), offset=offset)
+
+    # The id is text on the way through pandas, where beside nulls it would become a float.
+    dealt = pieces.withColumn("stripe", F.pmod(F.xxhash64("at"), F.lit(stripes)).cast("int")).withColumn("doc_id", F.col("doc_id").cast("string")).drop("at")
+    packed = dealt.groupBy("stripe").applyInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return packed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def tokenizer_path() -> str:

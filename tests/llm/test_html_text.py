@@ -66,6 +66,11 @@ def test_no_block_beside_the_largest_is_lost(page, expected):
         (f"<div class='share-container'><h1>T</h1><p>{LONG}</p><p>{LONG}</p><div class=related>More</div></div>", f"T\n{LONG.strip()}\n{LONG.strip()}"),
         (f"<div class='share-container'><article><p>{LONG}</p></article></div>", LONG.strip()),
         (f"<article><h1>T</h1><div class='share-container'><p>{LONG}</p></div></article>", f"T\n{LONG.strip()}"),
+        (f"<article class='social-science'><p>{LONG}</p></article>", LONG.strip()),
+        (f"<main><div id='notice-of-appeal'><p>{LONG}</p></div></main>", LONG.strip()),
+        (f"<article><p>{LONG}</p><section class='share-prices'><p>Up by two.</p></section><section id=relatedWork><p>{LONG}</p></section></article>", f"{LONG.strip()}\nUp by two.\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><div class='share-buttons'>Send</div><div class='ad-300x250'>Buy</div><ol class=commentList><li><p>{LONG}</p></ol></article>", LONG.strip()),
+        (f"<body><div class=story><h1>T</h1><p>{LONG}</p><p>Be.</p></div><section class='newsletter-signup'>Join</section><div id='comments-area'><p>{LONG}</p></div></body>", f"T\n{LONG.strip()}\nBe."),
         (f"<article><p>Be.</p></article><div class=ad>{LONG}</div>", "Be."),
         (f"<article></article><div class=ad>{LONG}</div>", ""),
         (f"<article><p>{LONG}</p></article><div id=comments><p>{LONG * 5}</p><p>{LONG * 5}</p></div>", LONG.strip()),
