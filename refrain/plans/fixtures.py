@@ -24,12 +24,19 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recording_vectors(spark: SparkSession, sf_dir: str, spaces: int = 1) -> DataFrame:
-    """Eight recordings of a minute that share a passage of 15 s, every other one also one of 8 s."""
+    """All embeddings as recordings of a minute, sixty vectors each.
+
+    Groups of eight recordings share a passage of 15 s, every other one of them also one of 8 s; each repeats 7 s of its own.
+    """
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    rec, t = F.floor(F.col("vec_id") / 60), F.col("vec_id") % 60
+    places = e.select(rec.alias("rec"), t.alias("t"))
     rec, t = F.col("rec"), F.col("t")
-    grid = spark.range(8).select(F.col("id").alias("rec")).crossJoin(spark.range(60).select(F.col("id").alias("t")))
-    vec = F.when(t.between(10, 24), 400 + t).when(t.between(30, 37) & (rec % 2 == 0), 430 + t).otherwise((rec * 50 + t) % 400)
+    first = (rec - rec % 8) * 60
+    shared = t.between(10, 24) | (t.between(30, 37) & (rec % 2 == 0))
+    vec = F.when(shared, first + t).when(t.between(50, 56), rec * 60 + t - 10).otherwise(rec * 60 + t)
     at = t.cast("double")
-    return grid.withColumn("vec_id", vec).join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id").select(
+    return places.withColumn("vec_id", vec).join(e, "vec_id").select(
         F.concat(F.lit("rec-"), rec).alias("source_id"), F.lit("").alias("source_name"), F.lit("").alias("source_path"), F.lit("recording").alias("source_type"),
         F.concat(F.lit("space-"), t % spaces).alias("extractor_id"), F.lit("video_perceptual").alias("kind"), at.alias("start_s"), (at + 1).alias("end_s"),
         (t * 1000).alias("start_byte"), (t * 1000 + 999).alias("end_byte"), F.col("embedding").alias("values"),

@@ -13,10 +13,11 @@ quant AS (SELECT *, list_transform(unit, lambda x: round((x * 127::FLOAT)::FLOAT
 vecs AS (SELECT *, sqrt({NORM.format('q')})::FLOAT AS qn FROM quant)"""
 SCORE = "(list_sum(list_transform(list_zip({0}.unit, {1}.q), lambda p: (p[1] * p[2])::FLOAT::DOUBLE)) / {1}.qn::DOUBLE)::FLOAT"
 REC = f"""{VEC},
+grid AS (SELECT vec_id // 60 AS rec, vec_id % 60 AS t FROM embeddings),
 rec AS (
-  SELECT r.rec, t.t, 'rec-' || r.rec AS source_id, t.t::DOUBLE AS start_s, v.unit, v.q, v.qn
-  FROM range(8) r(rec), range(60) t(t), vecs v
-  WHERE v.vec_id = CASE WHEN t BETWEEN 10 AND 24 THEN 400 + t WHEN t BETWEEN 30 AND 37 AND rec % 2 = 0 THEN 430 + t ELSE (rec * 50 + t) % 400 END)"""
+  SELECT g.rec, g.t, 'rec-' || g.rec AS source_id, g.t::DOUBLE AS start_s, v.unit, v.q, v.qn
+  FROM grid g JOIN vecs v ON v.vec_id = CASE WHEN t BETWEEN 10 AND 24 OR (t BETWEEN 30 AND 37 AND rec % 2 = 0) THEN (rec - rec % 8) * 60 + t
+    WHEN t BETWEEN 50 AND 56 THEN rec * 60 + t - 10 ELSE rec * 60 + t END)"""
 
 
 def ranked(where: str, k: int) -> str:
@@ -126,7 +127,7 @@ FROM s WHERE similarity >= 0.2::FLOAT QUALIFY rank <= 5""",
     "topk_exclude_own": f"WITH {REC}, {ranked('true', 12)} SELECT source_id, start_s, ref_source_id, ref_start_s, {SIX.format('similarity')} AS similarity FROM hits WHERE source_id <> ref_source_id",
     "extractor_compat": f"""WITH {REC}, {ranked('a.t % 2 = b.t % 2', 12)}
 SELECT source_id, 'space-' || (start_s::BIGINT % 2) AS extractor_id, ref_source_id, count(*) AS hits FROM hits GROUP BY ALL""",
-    "base_vectors_union": """WITH src AS (SELECT r_regionkey AS r, 'source-' || r_regionkey AS source_id FROM region),
+    "base_vectors_union": """WITH src AS (SELECT s_suppkey AS r, 'source-' || s_suppkey AS source_id FROM supplier),
 b AS (SELECT r, source_id, s, s % 10 AS x, s * 3 % 10 AS y, s * 7 % 10 AS z FROM src, range(20) t(s))
 SELECT source_id, 'video_perceptual' AS kind, s::DOUBLE AS start_s, s + 1.0::DOUBLE AS end_s, x + 1.0::DOUBLE AS v1, y + 1.0::DOUBLE AS v2 FROM b WHERE s <> 7
 UNION ALL SELECT source_id, 'audio_spectrum', s::DOUBLE, s + 1.0::DOUBLE, x + 2.0::DOUBLE, z + 1.0::DOUBLE FROM b WHERE s <> 3 AND r % 2 = 1
@@ -136,7 +137,7 @@ UNION ALL SELECT source_id, 'audio_spectrum', s * 0.5::DOUBLE, s * 0.5::DOUBLE +
     "lsh_widen": f"""WITH {PROBES},
 few AS (SELECT vec_id, count(*) FILTER (WHERE bits <= 1) < 64 AS few FROM away GROUP BY vec_id)
 SELECT vec_id, count(*) AS n, sum(ref)::BIGINT AS sum_ref FROM away JOIN few USING (vec_id) WHERE bits <= CASE WHEN few THEN 2 ELSE 1 END GROUP BY vec_id""",
-    "lsh_topk": f"WITH {REC} SELECT source_id, count(*) AS hits FROM rec GROUP BY source_id",
+    "lsh_topk": f"WITH {REC}, {ranked('true', 12)} SELECT source_id, count(*) AS hits FROM hits GROUP BY source_id",
     "self_repeat_anchors": f"WITH {REC}, {SELF.format('0.3')} SELECT source_id, start_s, ref_start_s, {SIX.format('similarity')} AS similarity FROM own_hits WHERE ref_start_s - start_s + 1e-6 >= 5",
     "offset_bins": f"WITH {REC}, {ranked('true', 12)} SELECT source_id, ref_source_id, round((ref_start_s - start_s) / 2)::BIGINT AS bin, count(*) AS anchors FROM ({CROSS}) GROUP BY ALL",
     "anchor_dedupe": f"""WITH {REC}, {ranked('true', 12)},
@@ -151,8 +152,8 @@ SELECT m.match_id, s.match_id IS NOT NULL AS confirmed FROM m LEFT JOIN sure s U
 WHERE m.reference_type = 'advertisement' OR s.match_id IS NOT NULL OR m.similarity::DOUBLE >= 0.985::DOUBLE""",
     "occurrence_edges": f"""WITH {MATCHES},
 n AS (
-  SELECT 2 * match_id AS node, source_id, source_id AS src, q_start AS s, q_end AS e FROM m WHERE match_id % 5 = 4
-  UNION ALL SELECT 2 * match_id + 1, source_id, reference_id, r_start, r_end FROM m WHERE match_id % 5 = 4)
+  SELECT 2 * match_id AS node, source_id, source_id AS src, q_start AS s, q_end AS e FROM m
+  UNION ALL SELECT 2 * match_id + 1, source_id, reference_id, r_start, r_end FROM m)
 SELECT a.node AS a, b.node AS b FROM n a JOIN n b ON a.source_id = b.source_id AND a.src = b.src AND a.node < b.node AND abs(a.s - b.s) <= 3
 WHERE least(a.e, b.e) - greatest(a.s, b.s) >= 0.7::DOUBLE * least(a.e - a.s, b.e - b.s)""",
     "content_components": "SELECT doc_id AS node, low AS component FROM (SELECT doc_id, min(doc_id) OVER g AS low, count(*) OVER g AS n FROM documents WINDOW g AS (PARTITION BY text)) WHERE n > 1",
@@ -173,7 +174,7 @@ f AS (SELECT source_id, family, row_number() OVER w AS n, abs(lead(s) OVER w - s
 l AS (SELECT source_id, family, row_number() OVER w AS n, abs(lead(e) OVER w - e) AS lead, lead(family) OVER w AS nxt, 'trailing' AS edge FROM x WINDOW w AS (PARTITION BY source_id, block ORDER BY e DESC, s DESC, family DESC))
 SELECT source_id, family, edge, count(*) AS n_blocks, count(DISTINCT nxt) AS neighbours FROM (SELECT * FROM f UNION ALL SELECT * FROM l) WHERE n = 1 AND lead > 1e-6 GROUP BY ALL""",
     "asof_marker": f"""{MARKERS},
-parts AS (SELECT k AS source_id, event_id AS block, start_s AS s, end_s AS e FROM iv WHERE event_id % 3 = 0),
+parts AS (SELECT k AS source_id, event_id AS block, start_s AS s, end_s AS e FROM iv),
 bef AS (
   SELECT block, family_id FROM parts JOIN mk USING (source_id) WHERE out AND m_start <= s AND m_end <= s + 7200 AND s - m_end <= 14400
   QUALIFY row_number() OVER (PARTITION BY block ORDER BY m_end DESC, m_start, family) = 1),
@@ -234,6 +235,14 @@ parts AS (
   UNION ALL SELECT source_id, pos, first, 'between', time, t0 FROM c WHERE first > pos
   UNION ALL SELECT source_id, coalesce(max(hi), 0), size, 'between', coalesce(max(t1), 0), duration FROM src LEFT JOIN (SELECT source_id, hi, t1 FROM a) USING (source_id) GROUP BY source_id, size, duration HAVING coalesce(max(hi), 0) < size)
 SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY first) AS part, first, last, kind, t0, t1 FROM parts""",
+    "source_id_fnv": """WITH t AS (SELECT page_id, encode(url || octet_length(encode(html))) AS b FROM pages),
+bytes AS (SELECT page_id, list_prepend(14695981039346656037::UHUGEINT, [('0x' || substr(hex(b), 2 * i - 1, 2))::UTINYINT::UHUGEINT FOR i IN range(1, octet_length(b) + 1)]) AS x FROM t)
+SELECT page_id, lower(to_hex(list_reduce(x, lambda h, c: (xor(h::UBIGINT, c::UBIGINT)::UHUGEINT * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT)) AS id FROM bytes""",
+    "report_json": f"""WITH {REC}, {ranked('true', 12)}, {SELF.format('0.985')}, found AS ({aligned(f'{CROSS} UNION ALL {FORWARD}').replace('binned AS', 'WITH binned AS', 1)})
+SELECT source_id, '{{"feature":"' || kind || '","extractor_id":"space-0","anchor_count":' || anchor_count || ',"similarity":' || round(similarity, 3)
+  || ',"query":{{"start_byte":' || q_start_byte || ',"end_byte":' || q_end_byte || ',"start_time_seconds":' || q_start || ',"end_time_seconds":' || q_end
+  || '}},"reference":{{"source_id":"' || reference_id || '","content_type":"recording","start_byte":' || r_start_byte || ',"end_byte":' || r_end_byte
+  || ',"start_time_seconds":' || r_start || ',"end_time_seconds":' || r_end || '}}}}' AS match FROM found""",
     "part_names": f"""WITH {INT.format('user_id')},
 s AS (SELECT *, floor(start_s / 100)::BIGINT AS a, ceil(end_s / 100)::BIGINT AS b FROM iv)
 SELECT event_id, printf('rec%d.part%03d_%s_%02d-%02d-%02d_%02d-%02d-%02d.ts', k, event_id, event_type, a // 3600, a // 60 % 60, a % 60, b // 3600, b // 60 % 60, b % 60) AS name FROM s""",

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refrain.operators.search import META, stored
@@ -27,9 +27,9 @@ def retained(sources: DataFrame, limit: int) -> DataFrame:
     """
     if limit <= 0:
         return sources
-    newest = Window.partitionBy("source_type").orderBy(F.col("sequence").desc(), F.col("source_id").desc())
-    ranked = sources.withColumn("age", F.when(F.col("source_type") == "recording", F.row_number().over(newest)).otherwise(0))
-    return ranked.filter(F.col("age") <= limit).drop("age")
+    recording = F.coalesce(F.col("source_type") == "recording", F.lit(False))
+    newest = sources.filter(recording).orderBy(F.col("sequence").desc(), F.col("source_id").desc()).limit(limit)  # the top of each part, then of those
+    return sources.filter(~recording).unionByName(newest)
 
 
 def upserted(vectors: DataFrame, new: DataFrame) -> DataFrame:
