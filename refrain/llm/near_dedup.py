@@ -24,6 +24,8 @@ from refrain.llm.scratch import Scratch, read
 from refrain.llm.worker import kept
 
 BANDS, ROWS, WORDS = 48, 6, 5
+#: Words whose hashes a worker keeps.
+CACHED = 400_000
 MASK = (1 << 64) - 1
 
 
@@ -32,7 +34,7 @@ def shingle_hashes(text: str, cache: dict[bytes, int], words: int = WORDS) -> np
     found = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the ASCII blanks only
     if not found:
         return np.empty(0, np.uint64)
-    if len(cache) > 1_000_000:
+    if len(cache) > CACHED:
         cache.clear()
     for w in set(found):
         if w not in cache:
@@ -81,7 +83,7 @@ def sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, k1, k2 (the set's hash), sig (16 bits a value), bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        factors, cache = hash_parameters(bands * rows), kept("word hashes", dict)
+        factors, cache = hash_parameters(bands * rows), kept("near", "word hashes", dict)
         band_mix = hash_parameters(rows, 11)
         for batch in batches:
             for at in range(0, len(batch), 500):
@@ -191,7 +193,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, hashes) of the documents whose id is in ids(doc_id)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[bytes, int] = kept("word hashes", dict)
+        cache: dict[bytes, int] = kept("near", "word hashes", dict)
         for part in batches:
             for at in range(0, len(part), 500):
                 rows = part.iloc[at : at + 500]

@@ -30,11 +30,15 @@ from refrain.llm.worker import kept
 
 LENGTH, END = 4096, 1
 #: Pieces that one task packs; bytes of texts and ids that a worker's cache holds, characters of texts encoded at once.
-STRIPE, CACHE, AT_ONCE = 1 << 20, 96 << 20, 4_000_000
+STRIPE, CACHE, AT_ONCE = 1 << 20, 200 << 20, 4_000_000
 
 
-#: A full stop or comma after a letter, before a blank, is a token of its own.
-STOP = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|$)")
+#: ASCII signs after a letter and before a blank are a token or tokens of their own (not ', and not < | > of special tokens).
+STOP = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([!-%(-;=?@\[-`{}~]+)(?=[ \n]|$)")
+#: One word for the tokenizer, whatever stands around it.
+LETTERS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
+#: What an entry of the cache takes besides its characters and ids.
+ENTRY = 220
 
 
 def cache_parts(text: str) -> list[str]:
@@ -72,27 +76,50 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, end
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        encoder = kept(f"tokenizer {tokenizer_file}", lambda: Tokenizer.from_file(tokenizer_file))
-        cache: dict[str, bytes] = kept(f"ids {tokenizer_file}", dict)
-        held = kept(f"bytes {tokenizer_file}", lambda: [0])
+        def word_ends() -> np.ndarray:
+            vocabulary = encoder.get_vocab()
+            out = np.zeros(max(vocabulary.values()) + 1, bool)
+            out[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+            return out
+
+        encoder = kept("packing", f"tokenizer {tokenizer_file}", lambda: Tokenizer.from_file(tokenizer_file))
+        ends = kept("packing", f"ends {tokenizer_file}", word_ends)
+        cache: dict[str, bytes] = kept("packing", f"ids {tokenizer_file}", dict)
+        held = kept("packing", f"bytes {tokenizer_file}", lambda: [0])
         tail = array("I", [end]).tobytes()
         width = 4 * length
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are taken from memory as little-endian 32-bit integers")
 
+        def put(part: str, ids: bytes) -> None:
+            cache[part] = ids
+            held[0] += len(part) + len(ids) + ENTRY
+
         def learn(parts: list[str]) -> None:
-            for at in range(0, len(parts), 10_000):
-                some = parts[at : at + 10_000]
+            """Words of letters are encoded a thousand at a time as one text, which the ends of words cut again."""
+            words = [x for x in parts if LETTERS.fullmatch(x)]
+            others = list(set(parts) - set(words))
+            for at in range(0, len(words), 1000):
+                some = words[at : at + 1000]
+                ids = np.array(encoder.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+                if len(cuts) != len(some):
+                    others += some
+                    continue
+                raw = ids.tobytes()
+                for part, a, b in zip(some, [0, *cuts], cuts, strict=False):
+                    put(part, raw[a:b])
+            for at in range(0, len(others), 10_000):
+                some = others[at : at + 10_000]
                 for part, got in zip(some, encoder.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    cache[part] = ids = array("I", got.ids).tobytes()
-                    held[0] += len(part) + len(ids)
+                    put(part, array("I", got.ids).tobytes())
 
         for batch in batches:
             out = []
             for some in at_once(batch):
                 texts = [cache_parts(t or "") for t in some["text"]]
                 missing = list(set().union(*texts) - cache.keys())
-                if held[0] + sum(map(len, missing)) > CACHE:
+                if held[0] + sum(map(len, missing)) + ENTRY * len(missing) > CACHE:
                     cache.clear()
                     held[0], missing = 0, list(set().union(*texts))
                 learn(missing)

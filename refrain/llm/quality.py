@@ -1,7 +1,7 @@
 """Operator 3, quality rules: fixed rules, then gradient-boosted trees over document statistics.
 
 One pass over the texts computes the statistics, which are written; the trees are fitted on the
-driver on at most ``sample`` labelled rows (those with the smallest hash of their id) and sent to
+driver on about ``sample`` labelled rows (those with the smallest hash of their id) and sent to
 the executors as numpy arrays, which score the statistics a batch at a time.
 """
 
@@ -83,39 +83,40 @@ def statistics(text: str) -> tuple:
     return (n, word_chars, symbols, dup, repeat, *more)
 
 
-def document_statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, COUNTS, STATISTICS, then the columns of carry; null texts count as empty."""
+def document_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id, COUNTS, STATISTICS of every row; null texts count as empty."""
     names = [*COUNTS, *STATISTICS]
     schema = ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS), *(f"{c} double" for c in STATISTICS)])
-    extra = [f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*carry).schema] if carry else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = pd.DataFrame([statistics(t or "") for t in batch["text"]], columns=names)
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            for c in carry:
-                out[c] = batch[c].to_numpy()
+            # pandas reads a long column with nulls as floats, exact to 2**53; Int64 brings the nulls back.
             yield out.astype({"doc_id": "Int64"} | dict.fromkeys(COUNTS, "int64") | dict.fromkeys(STATISTICS, "float64"))
 
-    # The id travels as text so that nulls survive pandas without becoming floats.
-    take = [F.col("doc_id").cast("long"), F.col("text"), *[c for c in carry if c not in ("doc_id", "text")]]
-    return docs.select(*take).mapInPandas(run, ", ".join([schema, *extra]))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
 
 
-def fit_quality(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest | None:
-    """Trees for P(quality = 1), or None where the labels do not hold both classes.
+def labelled_sample(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, y of about ``sample`` labels, those with the least hashes; never more than twice as many.
 
-    ``sample`` bounds the rows that reach the driver.
+    The hash is cut where that many are expected, so that nothing is sorted; the bound lets the rows be broadcast.
     """
-    known = labels.filter("quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("y"))
-    rows = (
-        stats.join(known, "doc_id")
-        .select("y", *STATISTICS, F.xxhash64("doc_id", F.lit(3)).alias("h"), "doc_id")
-        .orderBy("h", "doc_id", "y")
-        .limit(sample)
-        .drop("h", "doc_id")
-        .collect()
-    )
+    known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("y"))
+    share = sample / max(1, known.count())
+    if share < 1:
+        known = known.filter(F.xxhash64("doc_id", F.lit(3)) <= int(-(2**63) + share * 2**64))
+    return known.limit(2 * sample)
+
+
+def fit_quality(stats: DataFrame, chosen: DataFrame, sample: int = SAMPLE) -> Forest | None:
+    """Trees for P(quality = 1), or None where the labels chosen by ``labelled_sample`` do not hold both classes.
+
+    At most 2 * ``sample`` rows reach the driver.
+    """
+    rows = stats.join(F.broadcast(chosen), "doc_id").select("y", *STATISTICS).limit(2 * sample).collect()
+    rows.sort()  # the fit does not depend on the order in which tasks end
     data = np.array([tuple(r) for r in rows], float).reshape(len(rows), len(STATISTICS) + 1)
     y, x = data[:, 0], data[:, 1:]
     if len(np.unique(y)) < 2:
@@ -134,7 +135,7 @@ def quality(docs: DataFrame, labels: DataFrame, *, least_words: int = 10, most_r
     """
     scratch = Scratch(docs.sparkSession, "quality")
     stats = scratch.table(document_statistics(docs), "stats")
-    model = fit_quality(stats, labels, sample)
+    model = fit_quality(stats, labelled_sample(labels, sample), sample)
     cut = float(np.log(threshold / (1 - threshold)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,13 +157,13 @@ def verdict(stats: pd.DataFrame, model: Forest | None, least_words: int, most_re
 def keep_good(docs: DataFrame, labels: DataFrame, *, least_words: int = 10, most_repeat: int = 20, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that ``quality`` keeps, with all their columns, without moving a text.
 
-    The statistics of the labelled documents come from one pass, for the fit; a second pass
-    computes each text's statistics again and filters the row where it stands.
+    For the fit, statistics are computed of the labelled documents of the sample only; then a pass computes each
+    text's statistics and filters the row where it stands.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    known = scratch.table(document_statistics(docs), "stats")
-    model = fit_quality(known, labels, sample)
-    scratch.drop(known)
+    chosen = scratch.table(labelled_sample(labels, sample), "chosen")
+    labelled = docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = fit_quality(document_statistics(labelled), chosen, sample)
     cut = float(np.log(threshold / (1 - threshold)))
 
     @F.pandas_udf("boolean")
