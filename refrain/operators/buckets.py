@@ -9,8 +9,17 @@ from refrain.functions.features import AudioExtractor
 from refrain.options import AnalyzerOptions
 
 
-def tumbling(events: DataFrame, by: list[str], at: Column, width: float, aggregates: dict[str, Column]) -> DataFrame:
-    """by, bucket, start_s, end_s and aggregates; buckets without rows stand between those with some."""
+#: No recording is longer; a time beyond it is a broken clock.
+LONGEST_SECONDS = 7 * 86400.0
+
+
+def tumbling(events: DataFrame, by: list[str], at: Column, width: float, aggregates: dict[str, Column], longest: float | None = None) -> DataFrame:
+    """by, bucket, start_s, end_s and aggregates; buckets without rows stand between those with some.
+
+    With ``longest``, rows at a later time raise an error: one broken clock would ask for billions of buckets.
+    """
+    if longest is not None:
+        at = F.when(at > longest, F.raise_error(F.lit(f"a recording is longer than {longest:.0f} seconds")).cast("double")).otherwise(at)
     rows = events.withColumn("bucket", F.greatest(F.lit(0).cast("long"), F.floor(at / width)))
     full = rows.groupBy(*by, "bucket").agg(*[c.alias(k) for k, c in aggregates.items()])
     every = full.groupBy(*by).agg(F.max("bucket").alias("last")).select(*by, F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("bucket"))

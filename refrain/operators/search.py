@@ -279,25 +279,28 @@ def lsh_top_k(queries: DataFrame, catalogue: DataFrame, k: int, threshold: float
     return ranked.select(*[c for c in queries.columns if c != "values"], "similarity", "rank", *HIT)
 
 
-def top_k(queries: DataFrame, catalogue: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Exact for catalogues of at most EXACT_LIMIT vectors of all spaces, else by hashing."""
-    small = catalogue.select(F.lit(1)).limit(EXACT_LIMIT + 1).count() <= EXACT_LIMIT
-    return (exact_top_k if small else lsh_top_k)(queries, catalogue, k, threshold)
+def top_k(queries: DataFrame, catalogue: DataFrame, k: int, threshold: float, method: str = "auto") -> DataFrame:
+    """By exact_top_k or lsh_top_k as ``method`` says; auto is exact for catalogues of at most EXACT_LIMIT vectors of all spaces."""
+    if method == "auto":
+        method = "exact" if catalogue.select(F.lit(1)).limit(EXACT_LIMIT + 1).count() <= EXACT_LIMIT else "hashed"
+    return (exact_top_k if method == "exact" else lsh_top_k)(queries, catalogue, k, threshold)
 
 
 def catalogue_anchors(queries: DataFrame, catalogue: DataFrame, options: SearchOptions) -> DataFrame:
     """Hits in other sources. Those in the own source take up places among the k and go afterwards."""
-    return top_k(queries, catalogue, options.top_k, options.minimum_similarity).filter("ref_source_id != source_id")
+    return top_k(queries, catalogue, options.top_k, options.minimum_similarity, options.method).filter("ref_source_id != source_id")
 
 
 def self_anchors(queries: DataFrame, options: SearchOptions) -> DataFrame:
     """Hits of each source in itself, forward by at least the least duration.
 
-    Sources of at most EXACT_LIMIT vectors are searched whole, one group each; longer ones by hashing.
+    Sources of at most EXACT_LIMIT vectors are searched whole, one group each; longer ones by hashing, but for
+    options.method to say otherwise.
     """
     k, limit = options.self_k, np.float32(options.minimum_similarity)
     counted = queries.join(queries.groupBy("source_id").agg(F.count("*").alias("n")), "source_id")
-    short = stored(counted.filter(F.col("n") <= EXACT_LIMIT).withColumn("v", F.col("values"))).withColumn("dim", F.size("q"))
+    most = {"auto": EXACT_LIMIT, "exact": 2**62, "hashed": 0}[options.method]
+    short = stored(counted.filter(F.col("n") <= most).withColumn("v", F.col("values"))).withColumn("dim", F.size("q"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["start_s", "end_s"], kind="stable").reset_index(drop=True)
@@ -318,7 +321,7 @@ def self_anchors(queries: DataFrame, options: SearchOptions) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in queries.schema}
     schema = ", ".join([*(f"{c} {types[c]}" for c in META), "similarity float, rank int", *(f"{c} {types[c.removeprefix('ref_')]}" for c in HIT)])
     hits = short.groupBy("source_id", *SPACE).applyInPandas(run, schema)
-    long = counted.filter(F.col("n") > EXACT_LIMIT).select(*META, "values")
+    long = counted.filter(F.col("n") > most).select(*META, "values")
     if not long.isEmpty():
         hits = hits.unionByName(lsh_top_k(long, stored(long), k, options.minimum_similarity, ("source_id",)).select(*hits.columns))
     return hits.filter(F.col("ref_start_s") - F.col("start_s") + 1e-6 >= options.minimum_duration_seconds)

@@ -31,8 +31,11 @@ class SearchOptions:
     offset_bin_seconds: float = 1.0
     maximum_anchor_gap_seconds: float = 2.5
     minimum_anchors: int = 3
+    #: exact, hashed, or auto: hashed beyond EXACT_LIMIT stored vectors
+    method: str = "auto"
 
     def __post_init__(self) -> None:
+        _need(self.method in ("auto", "exact", "hashed"), "the method is auto, exact or hashed")
         _need(-1 <= self.minimum_similarity <= 1, "the similarity must lie in -1..1")
         _need(self.top_k > 0, "top_k must be positive")
         _need(min(self.minimum_duration_seconds, self.offset_bin_seconds, self.maximum_anchor_gap_seconds) > 0, "alignment durations must be positive")

@@ -9,10 +9,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refrain.operators.search import META, stored
+from refrain.sources.store import checkpointed
 
 SCHEMA = (
     "source_id string, source_name string, source_path string, source_type string, extractor_id string, kind string, "
@@ -111,24 +112,36 @@ class Catalog:
         sources = vectors.select("source_id", "source_type", "sequence").distinct()
         return vectors.join(retained(sources, limit).select("source_id"), "source_id", "left_semi")
 
-    def replace_sources(self, vectors: DataFrame, ids: list[str]) -> list[str]:
-        """Replace the named sources by their base vectors, in the order of ids; returns those evicted.
+    def replace_sources(self, vectors: DataFrame, ids: DataFrame | list[str]) -> DataFrame:
+        """Replace the named sources by their base vectors, in the order of ids; returns the source_id of those evicted.
 
-        A name without vectors is removed. Each gets a new sequence number, which makes it the newest.
+        ids are names, or a table with a column source_id, taken in its order. A name without vectors is removed.
+        Each gets a new sequence number, which makes it the newest. Ids stay in tables, however many there are.
         """
-        if not ids or any(not i for i in ids):
-            raise ValueError("sources need an id")
-        if not vectors.filter(~F.col("source_id").isin(*ids)).isEmpty():
+        if not isinstance(ids, DataFrame):
+            if not ids or any(not i for i in ids):
+                raise ValueError("sources need an id")
+            named = self.spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "source_id string, place long")
+        else:
+            if not ids.filter("source_id IS NULL OR source_id = ''").isEmpty():
+                raise ValueError("sources need an id")
+            ranked = Window.orderBy("source_id")  # names only, one row per recording of a batch
+            named = ids.select("source_id").distinct().select("source_id", (F.row_number().over(ranked) - 1).cast("long").alias("place"))
+        named = checkpointed(named)
+        if not vectors.join(named, "source_id", "left_anti").isEmpty():
             raise ValueError("vectors of other sources")
         meta, old = self.meta(), self.vectors()
-        check_spaces(old.filter(~F.col("source_id").isin(*ids)), vectors)
-        numbers = F.create_map(*[F.lit(x) for n, i in enumerate(ids) for x in (i, meta["next_sequence"] + n)])
-        new = stored(vectors.select(*META, "values"), numbers[F.col("source_id")].cast("long"))
-        every = old.filter(~F.col("source_id").isin(*ids)).unionByName(new.select(*old.columns))
-        before = {r[0] for r in every.select("source_id").distinct().collect()}
-        kept = self._kept(every, meta["maximum_recordings"])
-        self._commit(kept, meta | {"next_sequence": meta["next_sequence"] + len(ids)})
-        return sorted(before - {r[0] for r in self.vectors().select("source_id").distinct().collect()})
+        rest = old.join(named, "source_id", "left_anti")
+        check_spaces(rest, vectors)
+        new = stored(vectors.select(*META, "values"), F.lit(0).cast("long")).drop("sequence")
+        new = new.join(named, "source_id").withColumn("sequence", F.col("place") + meta["next_sequence"])
+        every = rest.select(*old.columns).unionByName(new.select(*old.columns))
+        known = checkpointed(every.select("source_id", "source_type", "sequence").distinct())
+        kept = retained(known, meta["maximum_recordings"])
+        gone = checkpointed(known.join(kept.select("source_id"), "source_id", "left_anti").select("source_id").distinct())
+        out = every if not meta["maximum_recordings"] else every.join(gone, "source_id", "left_anti")
+        self._commit(out, meta | {"next_sequence": meta["next_sequence"] + named.count()})
+        return gone.orderBy("source_id")
 
     def configure(self, maximum_recordings: int) -> None:
         self._commit(self._kept(self.vectors(), self._limit(maximum_recordings)), self.meta() | {"maximum_recordings": maximum_recordings})

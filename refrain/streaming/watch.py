@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import shlex
+import sys
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -40,7 +42,11 @@ class FolderConfig:
 
     @property
     def signature(self) -> str:
-        return json.dumps([self.params, self.output_folder], separators=(",", ":"))
+        return json.dumps({"partition_version": 1, "params": self.params}, ensure_ascii=False, separators=(",", ":"))
+
+    def key(self, path: str) -> str:
+        """What a state row is about: this configuration's work on a file."""
+        return "\n".join((self.name, self.output_folder or "<scan-only>", path))
 
 
 def parse_times(value: str | list[str]) -> tuple[clock, ...]:
@@ -64,7 +70,7 @@ def parse_config(text: str) -> list[FolderConfig]:
         params = row.get("params", [])
         out.append(
             FolderConfig(
-                row["name"], row["folder"], parse_times(row["check_time"]), tuple(params.split() if isinstance(params, str) else params), row.get("output_folder"),
+                row["name"], row["folder"], parse_times(row["check_time"]), tuple(shlex.split(params) if isinstance(params, str) else params), row.get("output_folder"),
                 row.get("delete_source", False), float(row.get("mtime_over", 0)), row.get("enable", True),
             )
         )
@@ -81,34 +87,44 @@ def due(files: DataFrame, state: DataFrame, config: FolderConfig, now: datetime)
     """Files (path, length, modificationTime) that are settled, hold a packet and are not yet done as they are now."""
     quiet = F.col("modificationTime") <= F.lit(now) - F.make_dt_interval(secs=F.lit(config.mtime_over))
     ready = files.filter(quiet & (F.col("length") >= PACKET))
-    done = state.filter(F.col("ok") & (F.col("signature") == config.signature)).select(F.col("key").alias("path"), F.col("size").alias("length"), F.col("modified").alias("modificationTime"))
+    prefix = config.key("")
+    own = state.filter(F.col("ok") & (F.col("signature") == config.signature) & F.col("key").startswith(prefix))
+    done = own.select(F.substring("key", len(prefix) + 1, 1 << 20).alias("path"), F.col("size").alias("length"), F.col("modified").alias("modificationTime"))
     return ready.join(done, ["path", "length", "modificationTime"], "left_anti")
 
 
-def run_once(spark: SparkSession, config: FolderConfig, state_path: str, handle: Callable[[str, FolderConfig], None], now: datetime | None = None) -> tuple[int, int]:
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """The state table, empty where there is none yet; one that cannot be read is an error, not a fresh start."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], STATE)
+    return spark.read.schema(STATE).parquet(path)
+
+
+def run_once(spark: SparkSession, config: FolderConfig, state_path: str, handle: Callable[[str, FolderConfig], bool | None], now: datetime | None = None) -> tuple[int, int]:
     """Hands every file that is due to ``handle`` and records the outcome; (done, failed).
 
-    Only names reach the driver, as many as one folder holds. A handler's error is an outcome.
+    Only names reach the driver, as many as one folder holds. A handler's error is an outcome; one that
+    returns False wants the file again, and nothing is recorded.
     """
     from refrain.sources.media import folder_files
 
     now = now or datetime.now()
-    try:
-        state = spark.read.schema(STATE).parquet(state_path)
-        state.take(1)
-    except Exception:  # no state yet
-        state = spark.createDataFrame([], STATE)
-    rows, failed = [], 0
+    state = read_state(spark, state_path)
+    done = failed = 0
     for f in due(folder_files(spark, config.folder), state, config, now).collect():
         try:
-            handle(f["path"], config)
+            ok = handle(f["path"], config)
+            if ok is False:
+                continue
             ok = True
-        except Exception:
-            ok, failed = False, failed + 1
-        rows.append((f["path"], f["path"].rsplit("/", 1)[-1], f["length"], f["modificationTime"], config.signature, ok, now))
-    if rows:
-        spark.createDataFrame(rows, STATE).coalesce(1).write.mode("append").parquet(state_path)
-    return len(rows) - failed, failed
+        except Exception as e:
+            print(f"[{config.name}] failed {f['path']}: {e}", file=sys.stderr)
+            ok = False
+        done, failed = done + ok, failed + (not ok)
+        row = (config.key(f["path"]), f["path"].rsplit("/", 1)[-1], f["length"], f["modificationTime"], config.signature, ok, now)
+        spark.createDataFrame([row], STATE).coalesce(1).write.mode("append").parquet(state_path)  # at once: a later crash does not undo it
+    return done, failed
 
 
 def run_daemon(spark: SparkSession, configs: list[FolderConfig], state_path: str, handle: Callable[[str, FolderConfig], None], poll: float = 30.0, rounds: int | None = None) -> None:
