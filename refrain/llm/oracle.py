@@ -105,3 +105,32 @@ lows AS (SELECT x.r, min(g.vec_id) AS low FROM reach x JOIN good g ON x.other =
 SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(l.low, e.vec_id)::BIGINT AS component_id, e.vec_id = coalesce(l.low, e.vec_id) AS kept
 FROM (SELECT row_number() OVER () AS r, * FROM embeddings) e LEFT JOIN lows l USING (r) LEFT JOIN counts c USING (r)
 """
+
+OP2 = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+lines AS (
+  SELECT doc_id, i - 1 AS line_no, parts[i] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM docs)
+  WHERE regexp_matches(parts[i], '[^\x20\x09-\x0D]')),
+exact AS (SELECT line, min({'d': doc_id, 'n': line_no}) AS first, row_number() OVER () AS id FROM lines GROUP BY line),
+cut AS (
+  SELECT id, list_distinct(CASE WHEN length(l) < 8 THEN [l] ELSE [substr(l, i, 8) FOR i IN range(1, length(l) - 6)] END) AS s
+  FROM (SELECT id, lower(line) AS l FROM exact)),
+sets AS (SELECT id, len(s) AS n, hash(unnest(s)) AS x FROM cut),
+links AS (
+  SELECT a.id AS a, b.id AS b
+  FROM sets a JOIN sets b ON a.x = b.x AND a.id < b.id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n
+  HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+linked AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT id, id AS other FROM exact
+  UNION
+  SELECT r.id, l.b FROM reach r JOIN linked l ON r.other = l.a),
+keep AS (SELECT r.id, min(e.first) AS keep FROM reach r JOIN exact e ON r.other = e.id GROUP BY r.id),
+gone AS (
+  SELECT l.doc_id, list(l.line_no ORDER BY l.line_no) AS gone FROM lines l JOIN exact e USING (line) JOIN keep k USING (id)
+  WHERE {'d': l.doc_id, 'n': l.line_no} <> k.keep GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(len(parts), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed, coalesce(array_to_string(gone, ','), '') AS removed,
+  sha256(CASE WHEN gone IS NULL THEN coalesce(d.text, '') ELSE array_to_string([parts[i] FOR i IN range(1, len(parts) + 1) IF NOT list_contains(gone, i - 1)], chr(10)) END) AS text_sha256
+FROM documents d LEFT JOIN docs USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""

@@ -83,9 +83,10 @@ BASE = (
 )
 #: What the checksums and the context find besides: kept at THRESHOLD or above.
 MORE = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda m: F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34) & mod97(F.replace(m, F.lit(" "), F.lit(""))), "iban|account|konto|compte|cuenta", 0.8, "[A-Z]{2}[0-9]{2}"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda m: F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34) & mod97(F.replace(m, F.lit(" "), F.lit(""))), "iban|account|konto|compte|cuenta", 0.6, "[A-Z]{2}[0-9]{2}"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), r"\bssn\b|social security", 0.4, "[0-9]-[0-9]{2}-[0-9]"),
 )
+#: Characters before a match, whatever stands there, and after it, up to the next match of its kind.
 CONTEXT_CHARS, CONTEXT_BONUS, THRESHOLD = 48, 0.2, 0.55
 
 
@@ -95,16 +96,19 @@ def spans(text: Column, kind: Kind, threshold: float = 0.0) -> Column:
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
         end = start + F.length(x["match"])
-        near = F.lower(F.substring(x["gap"], -CONTEXT_CHARS, CONTEXT_CHARS)).rlike(kind.context)
+        before = F.substring(F.concat(state["tail"], x["gap"]), -CONTEXT_CHARS, CONTEXT_CHARS)
+        near = F.lower(F.concat_ws("\n", before, F.substring(x["after"], 1, CONTEXT_CHARS))).rlike(kind.context)
         score = F.lit(kind.base) + F.when(near, CONTEXT_BONUS).otherwise(0.0)
         one = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), score.alias("score")))
         good = kind.valid(x["match"]) & (score >= threshold)
-        return F.struct(end.cast("long").alias("at"), F.when(good, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
+        tail = F.substring(F.concat(before, x["match"]), -CONTEXT_CHARS, CONTEXT_CHARS)
+        return F.struct(end.cast("long").alias("at"), tail.alias("tail"), F.when(good, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
 
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    gaps = F.slice(F.split(text, kind.pattern, -1), 1, F.size(matches))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("found"))
-    found = F.aggregate(F.arrays_zip(gaps.alias("gap"), matches.alias("match")), zero, step, lambda s: s["found"])
+    gaps = F.split(text, kind.pattern, -1)
+    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("match"), F.slice(gaps, 2, F.size(matches)).alias("after"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("found"))
+    found = F.aggregate(zipped, zero, step, lambda s: s["found"])
     return F.when(text.rlike(kind.needs), found).otherwise(F.array().cast(SPAN))
 
 
@@ -129,7 +133,12 @@ def listed(kinds: tuple[Kind, ...]) -> Column:
     return F.array_join(F.concat(*[line(k) for k in kinds]), ",")
 
 
+def scores(kinds: tuple[Kind, ...]) -> Column:
+    """The spans' scores in the same order, two decimals each."""
+    return F.array_join(F.concat(*[F.transform(F.col(k.name), lambda s: F.format_number(s["score"], 2)) for k in kinds]), ",")
+
+
 def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(read(spark, sf_dir, "documents"))
     counts = [F.size(k.name).cast("long").alias(f"n_{k.name}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(listed(BASE), 256).alias("base_sha256"), listed(BASE + MORE).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(BASE), 256).alias("base_sha256"), listed(BASE + MORE).alias("spans"), scores(BASE + MORE).alias("scores"))

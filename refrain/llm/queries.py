@@ -39,6 +39,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_embedding_near_dedup": oracle.OP1,
+        "op2_line_dedup": oracle.OP2,
         "op5_pareto_mix": oracle.OP5,
         "op6_minhash_near_dedup": oracle.OP6,
         "op9_warc_round_trip": oracle.OP9,

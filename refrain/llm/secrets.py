@@ -76,8 +76,11 @@ def features(match: Column, before: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def labelled_findings(spark: SparkSession, rows: int = 3600, first: int = 0) -> DataFrame:
-    """match, before, path, secret: findings made by rule, in the forms that scans meet."""
+def labelled_findings(spark: SparkSession, rows: int = 3600, first: int = 0, part: tuple[int, ...] | None = None) -> DataFrame:
+    """match, before, path, secret: findings made by rule, in the forms that scans meet.
+
+    ``part`` takes only the forms whose number modulo 4 is in it, so that a forest can be tried on forms that it was not fitted on.
+    """
     i = F.col("id")
     sha = F.sha2(F.concat(F.lit("finding"), i.cast("string")), 256)
     other = F.sha2(F.concat(F.lit("second"), i.cast("string")), 256)
@@ -124,6 +127,7 @@ def labelled_findings(spark: SparkSession, rows: int = 3600, first: int = 0) ->
         (uuid, F.lit("/cart?order="), src, 0),
         (F.concat_ws("-", word(0), word(1), word(2), word(3)), F.lit("/list?next_token_page="), src, 0),
     ]
+    forms = [f for n, f in enumerate(forms) if part is None or n % 4 in part]
     one = F.element_at(
         F.array(*[F.struct(m.alias("match"), b.alias("before"), p.alias("path"), F.lit(s).cast("double").alias("secret")) for m, b, p, s in forms]),
         (i % len(forms) + 1).cast("int"),
@@ -150,16 +154,22 @@ def trees_of(debug: str) -> list:
     return out
 
 
-def fit_forest(findings: DataFrame, *, trees: int = 25, depth: int = 7, seed: int = 7) -> list:
-    """Trees for (match, before, path, secret); rows with nulls in these are left out.
-
-    The training table is the caller's and should be of bounded size; it stays distributed.
-    """
+def training_table(findings: DataFrame) -> DataFrame:
+    """secret, FEATURES, features (a vector of them); rows with nulls in match, before or secret are left out."""
     seen = findings.dropna(subset=["match", "before", "secret"])
     table = seen.select("secret", *[c.alias(n) for n, c in features(F.col("match"), F.col("before"), F.col("path")).items()])
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table).select("secret", "features")
-    model = RandomForestClassifier(labelCol="secret", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8, cacheNodeIds=False).fit(table)
-    return trees_of(model.toDebugString)
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
+
+
+def fit_model(findings: DataFrame, *, trees: int = 25, depth: int = 7, seed: int = 7):
+    """The training table is the caller's and should be of bounded size; it stays distributed."""
+    forest = RandomForestClassifier(labelCol="secret", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8, cacheNodeIds=False)
+    return forest.fit(training_table(findings).select("secret", "features"))
+
+
+def fit_forest(findings: DataFrame, *, trees: int = 25, depth: int = 7, seed: int = 7) -> list:
+    """Trees for (match, before, path, secret), as ``vote`` takes them."""
+    return trees_of(fit_model(findings, trees=trees, depth=depth, seed=seed).toDebugString)
 
 
 def vote(trees: list, values: Column) -> Column:

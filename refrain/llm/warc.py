@@ -165,6 +165,8 @@ class Run:
         return {"path": self.path, "n": self.n, "size": self.at, "keys": [k for k, _ in self.marks], "bytes": [b for _, b in self.marks]}
 
 
+#: Keys that a payload's digest is dealt into.
+SALT = 16
 RUN_SCHEMA = "path string, n long, size long, keys array<binary>, bytes array<long>"
 
 
@@ -199,7 +201,10 @@ def write_archives(pages: DataFrame, folder: str, least: int) -> DataFrame:
         {"digest": F.sha2("html", 256), "n": F.octet_length("html")}
     )
     firsts = typed.filter(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
-    typed = typed.join(firsts.filter("copies > 1").drop("copies"), "digest", "left")
+    # A digest with many copies is SALT keys of the join, not one: its payloads do not meet in one task.
+    firsts = firsts.filter("copies > 1").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    salted = typed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
+    typed = salted.join(firsts, ["digest", "salt"], "left")
     typed = typed.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

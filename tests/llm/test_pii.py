@@ -70,6 +70,13 @@ def test_checksums_and_context_add_spans(spark):
     assert got[4]["all"] == ""
 
 
+def test_context_on_both_sides_and_over_other_matches(spark):
+    far = " x" * 40
+    rows = [(1, "123-45-6789 is my social security number", ""), (2, f"123-45-6789{far} ssn", ""), (3, "ssn 111-22-3333 and 123-45-6789", ""), (4, f"ssn{far} 123-45-6789", "")]
+    got = run(spark, rows)
+    assert [got[i]["all"] for i in (1, 2, 3, 4)] == ["ssn:0:11", "", "ssn:4:15,ssn:20:31", ""]
+
+
 def test_context_moves_the_score_only(spark):
     got = run(spark, [(1, "visa card 4444333322221111", ""), (2, "number 4444333322221111", "")])
     assert got[1]["card"][0]["score"] > got[2]["card"][0]["score"]

@@ -4,7 +4,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from refrain.llm.secrets import FEATURES, candidates, features, fit_forest, labelled_findings, op10_secret_scan, scan, vote
+from refrain.llm.secrets import FEATURES, candidates, features, fit_forest, fit_model, labelled_findings, op10_secret_scan, scan, training_table, trees_of, vote
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +21,29 @@ def test_held_out_accuracy(spark, trees):
     assert set(FEATURES) == set(features(F.lit("a"), F.lit("b"), F.lit("c")))
 
 
+def test_accuracy_on_forms_that_were_not_fitted(spark):
+    """Each quarter of the forms is judged by a forest that saw the other three only."""
+    right = every = 0
+    for k in range(4):
+        own = fit_forest(labelled_findings(spark, part=tuple({0, 1, 2, 3} - {k})))
+        held = training_table(labelled_findings(spark, 600, 2_000_000, part=(k,)))
+        rows = held.select("secret", vote(own, F.struct(*FEATURES)).alias("score")).collect()
+        right += sum((r["score"] > 0.5) == (r["secret"] == 1) for r in rows)
+        every += len(rows)
+    print(f"accuracy on unseen forms: {right / every:.3f}")
+    assert right / every > 0.75
+
+
+def test_the_expression_votes_as_the_model_does(spark):
+    model = fit_model(labelled_findings(spark, 1200), trees=9)
+    rows = training_table(labelled_findings(spark, 700, 3_000_000))
+    both = rows.select("*", vote(trees_of(model.toDebugString), F.struct(*FEATURES)).alias("score"))
+    for n, tree in enumerate(model.trees):
+        both = tree.setPredictionCol(f"p{n}").setRawPredictionCol(f"r{n}").setProbabilityCol(f"q{n}").transform(both)
+    for r in both.collect():
+        assert abs(r["score"] - sum(r[f"p{n}"] for n in range(9)) / 9) < 1e-12
+
+
 def test_finds_planted_secrets_and_no_prose(spark, trees):
     key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     rows = [
