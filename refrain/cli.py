@@ -5,7 +5,8 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from dataclasses import dataclass, fields
+import time
+from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,6 +160,8 @@ def main(argv: list[str] | None = None) -> int:
         if args.command in ("ingest", "scan"):
             search = options(args, SearchOptions, **internal(args))
             inference, analyser = options(args, InferenceOptions), options(args, AnalyzerOptions, **repair(args))
+            for o in (analyser, search, inference):
+                print(f"{type(o).__name__}: {json.dumps(asdict(o))}", file=sys.stderr)
         catalog = Catalog(spark, args.db) if args.db else None
         if args.command == "init":
             catalog.create(args.max_recordings or 0)
@@ -180,8 +183,11 @@ def main(argv: list[str] | None = None) -> int:
                 raise FileNotFoundError(args.db)
             if args.store and catalog is None:
                 raise ValueError("--store needs --db")
+            began = time.time()
             rows = reports(spark, found, catalog, search, None if args.no_programme_inference else inference, args.store, args.max_recordings)
             text = "".join(map(dumps, rows))
+            media = sum(r["input"]["duration_seconds"] or 0 for r in rows)
+            print(f"{len(rows)} recordings, {media:.0f} s of media in {time.time() - began:.0f} s", file=sys.stderr)
             if args.output:
                 with open(args.output, "w", encoding="utf-8") as f:
                     f.write(text)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refrain.functions import lsh
+from refrain.functions.features import AudioExtractor, VideoExtractor
 from refrain.functions.naming import part_name, source_id
 from refrain.functions.vectors import normalised, quantised, squared_norm
 from refrain.operators.align import deduplicated, offset_bin, spans
@@ -112,6 +113,28 @@ def base_vectors_union(spark, sf):
     return base_vectors(media, b, w).select("source_id", "kind", "start_s", "end_s", six(F.element_at("values", 1)).alias("v1"), six(F.element_at("values", 2)).alias("v2"))
 
 
+@query
+def video_feature(spark, sf):
+    """Features of every page's first 576 bytes as a grey picture; shorter ones are filled with zeros."""
+    gray = F.substring(F.rpad(F.to_binary(F.coalesce("html", F.lit("")), F.lit("utf-8")), 576, F.to_binary(F.lit("00"), F.lit("hex"))), 1, 576)
+    v = VideoExtractor().column(gray)
+    return table(spark, sf, "pages").select("page_id", v.alias("v")).select("page_id", F.round(F.element_at("v", 1).cast("double"), 5).alias("mean_level"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("norm2"), F.size("v").alias("dim"))
+
+
+@query
+def audio_feature(spark, sf):
+    """Features of every embedding as if its numbers were samples."""
+    v = AudioExtractor().column(F.col("embedding"))
+    return table(spark, sf, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("norm2"), F.size("v").alias("dim"))
+
+
+@query
+def block_extents(spark, sf):
+    """First start and last end of each family in each block."""
+    x = _ad_rows(spark, sf).groupBy("source_id", "block", "family").agg(six(F.min("start_s")).alias("start_s"), six(F.max("end_s")).alias("end_s"))
+    return x.select("source_id", "block", "family", "start_s", "end_s")
+
+
 @query
 def lsh_signature(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("unit", normalised(F.col("embedding")))

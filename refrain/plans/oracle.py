@@ -168,6 +168,7 @@ clipped AS (SELECT d.k, d.seg, greatest(s, start_s) AS start_s, least(e, end_s)
 u AS (SELECT k, seg, block, max(end_s) - min(start_s) AS len FROM {blocks('clipped', 'k, seg', '0')} GROUP BY ALL)
 SELECT k, seg, round(least(1, coalesce(sum(len), 0) / 86400), 6) AS coverage FROM days LEFT JOIN u USING (k, seg) GROUP BY k, seg""",
     "ad_blocks": f"{ADS} SELECT source_id, block::BIGINT AS block, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, round(confidence, 6) AS confidence, confirmed, known_ad, families FROM ev",
+    "block_extents": f"{ADS} SELECT source_id, block::BIGINT AS block, family, round(min(start_s), 6) AS start_s, round(max(end_s), 6) AS end_s FROM b GROUP BY source_id, block, family",
     "edge_stats": f"""{ADS},
 x AS (SELECT b.source_id, b.block, family, min(b.start_s) AS s, max(b.end_s) AS e FROM b JOIN ev USING (source_id, block) WHERE families >= 3 GROUP BY ALL),
 f AS (SELECT source_id, family, row_number() OVER w AS n, abs(lead(s) OVER w - s) AS lead, lead(family) OVER w AS nxt, 'leading' AS edge FROM x WINDOW w AS (PARTITION BY source_id, block ORDER BY s, e, family)),
