@@ -244,6 +244,26 @@ SELECT source_id, '{{"feature":"' || kind || '","extractor_id":"space-0","anchor
   || ',"query":{{"start_byte":' || q_start_byte || ',"end_byte":' || q_end_byte || ',"start_time_seconds":' || q_start || ',"end_time_seconds":' || q_end
   || '}},"reference":{{"source_id":"' || reference_id || '","content_type":"recording","start_byte":' || r_start_byte || ',"end_byte":' || r_end_byte
   || ',"start_time_seconds":' || r_start || ',"end_time_seconds":' || r_end || '}}}}' AS match FROM found""",
+    "timestamp_repair": """WITH RECURSIVE f AS (
+  SELECT 's' || (user_id % 20) AS source_id, CASE WHEN event_id % 2 = 0 THEN 'audio' ELSE 'video' END AS stream, event_id AS seq, 0.5::DOUBLE AS len,
+    CASE WHEN event_id % 13 <> 0 THEN event_id / 10.0::DOUBLE + CASE WHEN event_id % 101 = 0 THEN 5000.0::DOUBLE ELSE 0 END END AS raw, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS n
+  FROM events),
+r AS (
+  SELECT DISTINCT source_id, 0::BIGINT AS n, NULL::VARCHAR AS stream, NULL::BIGINT AS seq, 0::DOUBLE AS frontier, NULL::DOUBLE AS a_off, NULL::DOUBLE AS a_last, NULL::DOUBLE AS a_exp,
+    NULL::DOUBLE AS v_off, NULL::DOUBLE AS v_last, NULL::DOUBLE AS v_exp, NULL::DOUBLE AS out, NULL::VARCHAR AS event FROM f
+  UNION ALL
+  SELECT source_id, n, stream, seq, greatest(frontier, out + len),
+    CASE WHEN stream = 'audio' THEN noff ELSE a_off END, CASE WHEN stream = 'audio' THEN out ELSE a_last END, CASE WHEN stream = 'audio' THEN out + len ELSE a_exp END,
+    CASE WHEN stream = 'video' THEN noff ELSE v_off END, CASE WHEN stream = 'video' THEN out ELSE v_last END, CASE WHEN stream = 'video' THEN out + len ELSE v_exp END, out, event
+  FROM (
+    SELECT *, CASE WHEN raw IS NULL THEN coalesce(off, 0) WHEN event IS NOT NULL THEN out - raw WHEN exp IS NULL THEN 0 ELSE off END AS noff FROM (
+      SELECT *, CASE WHEN raw IS NULL OR event IS NOT NULL THEN coalesce(exp, frontier) WHEN exp IS NULL THEN greatest(0, raw) ELSE greatest(raw + off, last) END AS out FROM (
+        SELECT *, CASE WHEN raw IS NULL THEN NULL WHEN exp IS NULL THEN CASE WHEN greatest(0, raw) > frontier + 10 THEN 'forward' END
+          WHEN raw + off > greatest(exp, frontier) + 10 THEN 'forward' WHEN raw + off < exp - 1 THEN 'backward' END AS event FROM (
+          SELECT f.source_id, f.n, f.stream, f.seq, f.raw, f.len, r.frontier, r.a_off, r.a_last, r.a_exp, r.v_off, r.v_last, r.v_exp,
+            CASE WHEN f.stream = 'audio' THEN r.a_off ELSE r.v_off END AS off, CASE WHEN f.stream = 'audio' THEN r.a_last ELSE r.v_last END AS last, CASE WHEN f.stream = 'audio' THEN r.a_exp ELSE r.v_exp END AS exp
+          FROM r JOIN f ON f.source_id = r.source_id AND f.n = r.n + 1)))))
+SELECT source_id, stream, seq, round(out, 6) AS out_s, event FROM r WHERE n > 0""",
     "part_names": f"""WITH {INT.format('user_id')},
 s AS (SELECT *, floor(start_s / 100)::BIGINT AS a, ceil(end_s / 100)::BIGINT AS b FROM iv)
 SELECT event_id, printf('rec%d.part%03d_%s_%02d-%02d-%02d_%02d-%02d-%02d.ts', k, event_id, event_type, a // 3600, a // 60 % 60, a % 60, b // 3600, b // 60 % 60, b % 60) AS name FROM s""",
