@@ -6,7 +6,7 @@ sets, at any length.
 
 One pass over the texts hashes and signs the lines, equal ones of a batch once; equal lines are
 then one before anything is compared. The signature has 24 MinHash values in eight bands of three:
-that misses 1.3 % of the pairs at a similarity of exactly 0.75, 0.3 % at 0.8 and one in 5,000 at 0.85. Lines that share
+that misses 1.3 % of the pairs at a similarity of exactly 0.75, 0.3 % at 0.8 and one in 2,000 at 0.85. Lines that share
 a band are candidates. A task gets up to BLOCK lines of a band, and the first line of the band with them, and
 compares the full sets of those that no link joins yet; a union-find over the links gives the components.
 Bands of more lines are then compared block by block where components are still apart.

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -70,6 +71,41 @@ def test_checksums_and_context_add_spans(spark):
     assert got[4]["all"] == ""
 
 
+def brute_more(text):
+    """iban and ssn spans: leftmost matches, checksum, and words within 48 characters that no other match of the kind cuts off."""
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", text):
+        flat = m[0].replace(" ", "")
+        if 15 <= len(flat) <= 34 and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1:
+            out.append(f"iban:{m.start()}:{m.end()}")
+    found = list(re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", text))
+    for m, after in zip(found, [*found[1:], None], strict=False):
+        near = text[max(0, m.start() - 48) : m.start()] + "\n" + text[m.end() : min(m.end() + 48, after.start() if after else len(text))]
+        if not re.match(r"000|666|9", m[0]) and "-00-" not in m[0] and not m[0].endswith("-0000") and re.search(r"\bssn\b|social security", near.lower()):
+            out.append(f"ssn:{m.start()}:{m.end()}")
+    return out
+
+
+def test_more_spans_equal_brute_force(spark):
+    rng = random.Random(9)
+
+    def account():
+        body = "".join(rng.choices("ABCDEFGH0123456789", k=rng.randint(11, 26)))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + "GB00")) % 97
+        flat = f"GB{check if rng.random() < 0.7 else rng.randint(10, 99):02d}{body}"
+        return flat if rng.random() < 0.5 else " ".join(flat[i : i + 4] for i in range(0, len(flat), 4))
+
+    piece = [account, lambda: f"{rng.choice(['123', '000', '666', '900', '078'])}-{rng.choice(['45', '00'])}-{rng.choice(['6789', '0000'])}", lambda: rng.choice(["ssn", "SSN:", "my social security", "word " * 12, "é😀", "\n", "-", "x"])]
+    rows = [(i, " ".join(rng.choice(piece)() for _ in range(rng.randint(0, 14))), "") for i in range(300)]
+    got = run(spark, rows)
+    hits = 0
+    for i, text, _ in rows:
+        own = [x for x in got[i]["all"].split(",") if x.startswith(("iban", "ssn"))]
+        assert own == brute_more(text), text
+        hits += len(own)
+    assert hits > 200
+
+
 def test_context_on_both_sides_and_over_other_matches(spark):
     far = " x" * 40
     rows = [(1, "123-45-6789 is my social security number", ""), (2, f"123-45-6789{far} ssn", ""), (3, "ssn 111-22-3333 and 123-45-6789", ""), (4, f"ssn{far} 123-45-6789", "")]

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 
 from refrain.llm.boosting import fit
-from refrain.llm.quality import COUNTS, STATISTICS, keep_good, op3_quality_rules, quality, statistics
+from refrain.llm.quality import COUNTS, STATISTICS, keep_good, labelled_sample, op3_quality_rules, quality, statistics
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 D = "/root/testdata/sf0.01"
@@ -41,6 +41,36 @@ def test_counts_equal_brute_force_and_held_out_accuracy(spark):
     assert ((model.score(x[half:]) >= 0) == (y[half:] == 1)).mean() > 0.97
 
 
+def test_query_scores_equal_a_walk_down_each_tree(spark):
+    """The query's score and kept, from trees walked a node at a time."""
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
+    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{D}/labels.parquet").collect()}
+    stats = {d: statistics(t or "")[len(COUNTS) :] for d, t in text.items()}
+    rows = sorted((y, *stats[d]) for d, y in label.items() if d in stats and y in (0, 1))
+    data = np.array(rows, float)
+    model = fit(data[:, 1:], data[:, 0], list(STATISTICS.values()))
+
+    def walk(x):
+        total = model.bias
+        for at in model.roots:
+            while model.feature[at] >= 0:
+                at = model.left[at] if x[model.feature[at]] <= model.threshold[at] else model.right[at]
+            total += model.value[at]
+        return total
+
+    for r in op3_quality_rules(spark, D).collect():
+        score = walk(stats[r["doc_id"]])
+        assert abs(r["score"] - score) < 1e-9
+        assert r["kept"] == (not r["base_failed"] and score >= 0)
+
+
+def test_the_sample_is_bounded_and_repeatable(spark):
+    labels = spark.range(5000).selectExpr("id AS doc_id", "CAST(id % 3 AS INT) AS quality").repartition(7)
+    drawn = [sorted(r["doc_id"] for r in labelled_sample(labels, 300).collect()) for _ in range(2)]
+    assert drawn[0] == drawn[1] and 200 < len(drawn[0]) < 420 and all(d % 3 < 2 for d in drawn[0])
+    assert labelled_sample(labels, 10_000).count() == 3334
+
+
 def test_odd_texts():
     for t in ("", "\n\n", "a\x1cb c d e", "a b c d e " * 50, "é# 😀$\n\té# 😀$", "x" * 100_000, "a b c d e f a b c d e"):
         assert statistics(t)[: len(COUNTS)] == brute(t)
