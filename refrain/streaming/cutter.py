@@ -257,7 +257,7 @@ def main(argv: list[str] | None = None, scan: Scan | None = None) -> int:
     try:
         text = "\n".join(r[0] for r in spark.read.text(args.config, wholetext=True).collect())
         configs = parse_config(text.removeprefix("﻿"))
-        state = args.state or split_name(args.config)[0].join((args.config.rpartition("/")[0] + "/" if "/" in args.config else "", ".state"))
+        state = args.state or f"{args.config.removesuffix(split_name(args.config)[1])}.state"
         if args.once:
             failed = sum(run_once(spark, c, state, handler(spark, scan))[1] for c in configs if c.enable)
             return 1 if failed else 0
