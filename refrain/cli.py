@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 import json
+import math
+import re
 import sys
 import time
 from dataclasses import asdict, dataclass, fields
@@ -36,6 +38,21 @@ FLAGS = {
 }
 
 
+def strict(kind: type):
+    """Parses a whole number or a finite one, written plainly: no blanks, underscores, nan or inf."""
+
+    def parse(text: str):
+        if not re.fullmatch(r"[+-]?\d+" if kind is int else r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", text, re.ASCII):
+            raise ValueError(text)
+        value = kind(text)
+        if not math.isfinite(value):
+            raise ValueError(text)
+        return value
+
+    parse.__name__ = kind.__name__  # for argparse's message
+    return str if kind is str else parse
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="refrain")
     sub = p.add_subparsers(dest="command", required=True)
@@ -43,14 +60,14 @@ def parser() -> argparse.ArgumentParser:
         c = sub.add_parser(name)
         c.add_argument("--db", required=name != "scan")
         if name != "info":
-            c.add_argument("--max-recordings", type=int, required=name == "configure")
+            c.add_argument("--max-recordings", type=strict(int), required=name == "configure")
         if name in ("ingest", "scan"):
             c.add_argument("--input", required=True)
             c.add_argument("--content-type", choices=CONTENT_TYPES, default="recording" if name == "scan" else "unknown")
             c.add_argument("--output")
             for flag, (cls, field) in FLAGS.items():
                 kind = {f.name: f.default for f in fields(cls)}[field]
-                c.add_argument(f"--{flag}", dest=f"{cls.__name__}.{field}", type=type(kind))
+                c.add_argument(f"--{flag}", dest=f"{cls.__name__}.{field}", type=strict(type(kind)))
         if name == "scan":
             for flag in ("store", "no-self", "no-programme-inference", "no-timestamp-repair"):
                 c.add_argument(f"--{flag}", action="store_true")

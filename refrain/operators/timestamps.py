@@ -6,13 +6,19 @@ import math
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from refrain.options import AnalyzerOptions
 
 SCHEMA = "source_id string, stream string, seq long, raw_s double, out_s double, event string, previous_raw_s double"
 
 
+def raw_time(pts: Column, time_base: Column, origin: Column) -> Column:
+    """A frame's time in seconds from the stream's origin, for ``repaired``; null without a timestamp or a positive time base."""
+    return F.when(time_base > 0, pts.cast("double") * time_base - F.coalesce(origin, F.lit(0.0)))
+
+
 @dataclass
 class Clock:
     """State of one source: per stream offset, last raw and output times and the next expected one."""

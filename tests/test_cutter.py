@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from refrain import cli
 from refrain.operators.buckets import tumbling
-from refrain.operators.timestamps import repaired
+from refrain.operators.timestamps import raw_time, repaired
 from refrain.options import AnalyzerOptions
 from refrain.sources.media import counters, scan_audio, scan_video
 from refrain.streaming import cutter
@@ -232,3 +232,19 @@ def test_a_broken_clock_asks_for_no_buckets(spark):
     rows = spark.createDataFrame([("s", 1.0), ("s", 1e12)], "k string, t double")
     with pytest.raises(Exception, match="longer than"):
         tumbling(rows, ["k"], F.col("t"), 1.0, {"n": F.count("*")}, 7 * 86400.0).collect()
+
+
+def test_raw_times(spark):
+    rows = spark.createDataFrame([(9000, 1 / 90000, 0.05), (None, 1 / 90000, 0.0), (90000, 1 / 90000, None), (5, 0.0, 0.0)], "pts long, base double, origin double")
+    got = [r[0] for r in rows.select(raw_time(F.col("pts"), F.col("base"), F.col("origin"))).collect()]
+    assert got[1] is None and got[3] is None and abs(got[0] - 0.05) < 1e-12 and abs(got[2] - 1) < 1e-12
+
+
+@pytest.mark.parametrize("flag,value,ok", [("--threshold", "0.9", True), ("--threshold", "nan", False), ("--threshold", " 0.9", False), ("--top-k", "1_0", False), ("--top-k", "7", True), ("--top-k", "7.5", False), ("--audio-hop", "inf", False), ("--max-gap", "1e400", False)])
+def test_numbers_are_parsed_strictly(flag, value, ok):
+    args = ["scan", "--input", "x", flag, value]
+    if ok:
+        assert cli.parser().parse_args(args)
+    else:
+        with pytest.raises(SystemExit):
+            cli.parser().parse_args(args)
