@@ -28,7 +28,7 @@ hits AS (
   QUALIFY rank <= {k})"""
 
 
-def aligned(anchors: str) -> str:
+def aligned(anchors: str, similarity: str = SIX.format("avg(similarity::DOUBLE)::FLOAT")) -> str:
     """From anchors(source_id, ref_source_id, start_s, ref_start_s, similarity) to spans."""
     return f"""
 binned AS (SELECT *, round(ref_start_s - start_s)::BIGINT AS offset_bin FROM ({anchors})),
@@ -44,7 +44,7 @@ runs AS (
   FROM stepped)
 SELECT source_id, ref_source_id AS reference_id, 'video_perceptual' AS kind, offset_bin, min(start_s) AS q_start, max(start_s) + 1 AS q_end, min(ref_start_s) AS r_start,
   max(ref_start_s) + 1 AS r_end, count(*) AS anchor_count, (min(start_s) * 1000)::BIGINT AS q_start_byte, (max(start_s) * 1000 + 999)::BIGINT AS q_end_byte,
-  (min(ref_start_s) * 1000)::BIGINT AS r_start_byte, (max(ref_start_s) * 1000 + 999)::BIGINT AS r_end_byte, round((avg(similarity::DOUBLE)::FLOAT)::DOUBLE, 6) AS similarity
+  (min(ref_start_s) * 1000)::BIGINT AS r_start_byte, (max(ref_start_s) * 1000 + 999)::BIGINT AS r_end_byte, {similarity} AS similarity
 FROM runs GROUP BY source_id, ref_source_id, offset_bin, run
 HAVING count(*) >= 3 AND least(max(start_s) + 1 - min(start_s), max(ref_start_s) + 1 - min(ref_start_s)) >= 5"""
 
@@ -107,6 +107,112 @@ ev AS (
 MARKERS = f"""WITH {INT.format('user_id')},
 mk AS (SELECT k AS source_id, start_s AS m_start, end_s AS m_end, event_id AS family, 'f' || event_id AS family_id, event_id % 2 = 0 AS out FROM iv WHERE event_type IN ('click', 'view', 'purchase'))"""
 
+FAMILIES = f"""WITH RECURSIVE spans AS (
+  WITH {REC}, {ranked('true', 12)}, {SELF.format('0.985')}, {aligned(f'{CROSS} UNION ALL {FORWARD}', 'avg(similarity::DOUBLE)::FLOAT')}),
+found AS (SELECT *, row_number() OVER () AS id, 'recording' AS reference_type, 'audio_spectrum' AS sort FROM spans),
+chosen AS (SELECT * FROM found WHERE similarity::DOUBLE >= 0.985::DOUBLE AND least(q_end - q_start, r_end - r_start) > 0),
+media AS (SELECT DISTINCT source_id, 700.0::DOUBLE AS duration FROM found),
+node AS (
+  SELECT 2 * id AS node, source_id, source_id AS src, q_start AS s, q_end AS e, q_start_byte AS first, q_end_byte AS last, 'p' AS path, 'recording' AS type FROM chosen
+  UNION ALL SELECT 2 * id + 1, source_id, reference_id, r_start, r_end, r_start_byte, r_end_byte, '', reference_type FROM chosen),
+edge AS (
+  SELECT 2 * id AS a, 2 * id + 1 AS b FROM chosen
+  UNION SELECT a.node, b.node FROM node a JOIN node b ON a.source_id = b.source_id AND a.src = b.src AND a.node <> b.node AND abs(a.s - b.s) <= 3
+  WHERE least(a.e, b.e) - greatest(a.s, b.s) >= 0.7::DOUBLE * least(a.e - a.s, b.e - b.s)),
+ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach AS (SELECT node AS a, node AS b FROM node UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
+part AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a),
+lined AS (
+  SELECT n.*, component, row_number() OVER (PARTITION BY source_id, component, src ORDER BY s, e, first, last, path, type) AS rn FROM node n JOIN part USING (node)),
+fold AS (
+  SELECT source_id, component, src, rn, s, e, type, 1 AS place FROM lined WHERE rn = 1
+  UNION ALL
+  SELECT source_id, component, src, rn, CASE WHEN joins THEN least(ms, s) ELSE s END, CASE WHEN joins THEN greatest(me, e) ELSE e END,
+    CASE WHEN joins AND mtype <> 'unknown' THEN mtype ELSE type END, CASE WHEN joins THEN place ELSE place + 1 END
+  FROM (
+    SELECT l.*, f.s AS ms, f.e AS me, f.type AS mtype, f.place, least(f.e - f.s, l.e - l.s) > 0
+      AND greatest(0, least(f.e, l.e) - greatest(f.s, l.s)) >= 0.7::DOUBLE * least(f.e - f.s, l.e - l.s) AND (abs(f.s - l.s) <= 3 OR abs(f.e - l.e) <= 3) AS joins
+    FROM fold f JOIN lined l ON l.source_id = f.source_id AND l.component = f.component AND l.src = f.src AND l.rn = f.rn + 1)),
+occurrence AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY source_id, component, src, place ORDER BY rn DESC) = 1),
+facts AS (
+  SELECT c.source_id, component, bool_or(sort = 'audio_spectrum') AS has_audio, avg(similarity::DOUBLE) AS score FROM chosen c JOIN part ON node = 2 * id GROUP BY ALL),
+sized AS (
+  SELECT source_id, component, count(*) AS n, median(e - s) AS typical, bool_or(type = 'advertisement') AS ad, bool_or(type = 'programme') AS prog, bool_or(type = 'break_out') AS m_out,
+    bool_or(type = 'break_in') AS m_in, arg_min((src, s), (src, place)) AS head, coalesce(min(s) FILTER (WHERE src = source_id), 701) AS first_own, count(*) FILTER (WHERE src = source_id) AS own
+  FROM occurrence GROUP BY ALL HAVING count(*) >= 2),
+named AS (
+  SELECT *, CASE WHEN ad THEN 'advertisement' WHEN prog THEN 'programme' WHEN m_out AND NOT m_in THEN 'break_out' WHEN m_in AND NOT m_out THEN 'break_in' END AS known,
+    CASE WHEN typical > 180 THEN 'programme_repeat' WHEN NOT has_audio THEN 'visual_reuse' ELSE 'short_repeat' END AS form,
+    CASE WHEN ad THEN 0.94 WHEN prog THEN 0.90 WHEN m_out OR m_in THEN 0.92 WHEN has_audio THEN 0.76 ELSE 0.48 END::DOUBLE
+      + 0.15::DOUBLE * greatest(0, score - 0.90::DOUBLE) / 0.10::DOUBLE + least(0.07::DOUBLE, (n - 2) * 0.02::DOUBLE) AS sure
+  FROM sized JOIN facts USING (source_id, component)),
+judged AS (
+  SELECT *, coalesce(known, 'unknown') AS known_type, CASE WHEN prog AND NOT ad THEN 'programme_repeat' ELSE coalesce(known, form) END AS classification, greatest(0, least(0.99::DOUBLE, sure)) AS confidence FROM named),
+family AS (
+  SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY first_own, classification, typical, head[1], head[2]) AS family FROM judged)"""
+
+
+def evidence(rows: str) -> str:
+    return f"""(
+  SELECT source_id, block, min(start_s) AS start_s, max(end_s) AS end_s, max(confidence) AS confidence, bool_or(known_ad) AS known_ad, count(DISTINCT family) AS families FROM {rows}
+  GROUP BY source_id, block HAVING (bool_or(known_ad) OR count(DISTINCT family) >= 2) AND max(end_s) - min(start_s) <= 360)"""
+
+
+TIMELINE = f"""{FAMILIES},
+seen AS (SELECT o.source_id, family, s AS start_s, e AS end_s FROM occurrence o JOIN family USING (source_id, component) WHERE src = o.source_id),
+ads AS (
+  SELECT source_id, family, confidence, known_type = 'advertisement' AS known_ad, greatest(0, least(start_s, duration)) AS start_s, greatest(0, least(end_s, duration)) AS end_s
+  FROM family JOIN seen USING (source_id, family) JOIN media USING (source_id)
+  WHERE (known_type = 'advertisement' OR (classification = 'short_repeat' AND n >= 2 AND typical <= 180)) AND confidence >= 0.75::DOUBLE),
+dealt AS {blocks('ads', 'source_id', '20', 'start_s, end_s, family')},
+extent AS (SELECT source_id, block, family, min(start_s) AS s, max(end_s) AS e FROM dealt WHERE (source_id, block) IN (SELECT (source_id, block) FROM {evidence('dealt')} WHERE families >= 3) GROUP BY ALL),
+edges AS (
+  SELECT source_id, family, row_number() OVER w AS n, abs(lead(s) OVER w - s) AS lead, lead(family) OVER w AS nxt, true AS leads FROM extent WINDOW w AS (PARTITION BY source_id, block ORDER BY s, e, family)
+  UNION ALL
+  SELECT source_id, family, row_number() OVER w, abs(lead(e) OVER w - e), lead(family) OVER w, false FROM extent WINDOW w AS (PARTITION BY source_id, block ORDER BY e DESC, s DESC, family DESC)),
+sides AS (SELECT source_id, family, leads FROM edges WHERE n = 1 AND lead > 1e-6 GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT nxt) >= 2),
+one_side AS (SELECT source_id, family, bool_or(leads) AS leads FROM sides GROUP BY ALL HAVING count(*) = 1),
+labelled AS (
+  SELECT f.* EXCLUDE (classification),
+    CASE WHEN leads IS NOT NULL AND classification = 'short_repeat' AND typical <= 30 AND own >= 3 THEN CASE WHEN leads THEN 'break_out' ELSE 'break_in' END ELSE classification END AS classification
+  FROM family f LEFT JOIN one_side USING (source_id, family)),
+marker AS (
+  SELECT source_id, family, start_s AS m_start, end_s AS m_end, classification = 'break_out' AS out, known_type = classification AS catalogue, confidence
+  FROM labelled JOIN seen USING (source_id, family) WHERE classification IN ('break_out', 'break_in')),
+others AS (SELECT * FROM ads WHERE (source_id, family) NOT IN (SELECT (source_id, family) FROM marker)),
+parts AS (SELECT * FROM {evidence(blocks('others', 'source_id', '20', 'start_s, end_s, family'))}),
+bef AS (
+  SELECT p.source_id, block, m_end FROM parts p JOIN marker USING (source_id) WHERE out AND m_start <= start_s AND m_end <= start_s + 3 AND start_s - m_end <= 20
+  QUALIFY row_number() OVER (PARTITION BY p.source_id, block ORDER BY m_end DESC, m_start, family) = 1),
+aft AS (
+  SELECT p.source_id, block, m_start FROM parts p JOIN marker USING (source_id) WHERE NOT out AND m_end >= end_s AND m_start >= end_s - 3 AND m_start - end_s <= 20
+  QUALIFY row_number() OVER (PARTITION BY p.source_id, block ORDER BY m_start, m_end, family) = 1),
+nxt AS (
+  SELECT a.source_id, a.m_end AS start_s, b.m_start AS end_s, least(a.confidence, b.confidence) + 0.06::DOUBLE AS confidence, b.out FROM marker a JOIN marker b ON a.source_id = b.source_id AND b.m_start >= a.m_end
+    AND (b.m_start, b.m_end, b.family) > (a.m_start, a.m_end, a.family)
+  WHERE a.out AND a.catalogue AND b.catalogue QUALIFY row_number() OVER (PARTITION BY a.source_id, a.family, a.m_start, a.m_end ORDER BY b.m_start, b.m_end, b.family) = 1),
+proposal AS (
+  SELECT source_id, coalesce(m_end, start_s) AS start_s, coalesce(m_start, end_s) AS end_s, confidence + 0.04::DOUBLE + CASE WHEN known_ad THEN 0.05 ELSE 0 END::DOUBLE AS confidence, known_ad AS exempt
+  FROM parts LEFT JOIN bef USING (source_id, block) LEFT JOIN aft USING (source_id, block)
+  UNION ALL SELECT source_id, start_s, end_s, confidence, true FROM nxt WHERE NOT out AND end_s - start_s <= 360),
+breaks AS (
+  SELECT source_id, min(start_s) AS start_s, max(end_s) AS end_s, max(confidence) AS confidence FROM {blocks('proposal', 'source_id', '3')}
+  GROUP BY source_id, block HAVING bool_or(exempt) OR max(end_s) - min(start_s) >= 10),
+gaps AS (
+  SELECT source_id, greatest(0, coalesce(max(end_s) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS start_s, start_s AS end_s, row_number() OVER w > 1 AS preceded, end_s IS NOT NULL AS followed
+  FROM (SELECT source_id, start_s, end_s FROM breaks UNION ALL SELECT source_id, duration, NULL FROM media) WINDOW w AS (PARTITION BY source_id ORDER BY end_s IS NULL, start_s, end_s)),
+segment AS (
+  SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY start_s, end_s) AS seg FROM (
+    SELECT source_id, 'ad_break' AS label, start_s, end_s, confidence FROM breaks
+    UNION ALL
+    SELECT source_id, CASE WHEN end_s - start_s >= 120 THEN 'programme' ELSE 'unknown' END, start_s, end_s,
+      CASE WHEN end_s - start_s >= 120 THEN 0.55::DOUBLE + (CASE WHEN preceded THEN 0.15 ELSE 0 END)::DOUBLE + (CASE WHEN followed THEN 0.15 ELSE 0 END)::DOUBLE + (CASE WHEN end_s - start_s >= 600 THEN 0.08 ELSE 0 END)::DOUBLE ELSE 0.35::DOUBLE END
+    FROM gaps WHERE end_s > start_s + 1e-6)),
+clipped AS (
+  SELECT s.source_id, seg, family, greatest(s.start_s, o.start_s) AS start_s, least(s.end_s, o.end_s) AS end_s FROM segment s JOIN seen o USING (source_id) WHERE least(s.end_s, o.end_s) > greatest(s.start_s, o.start_s)),
+covered AS (SELECT source_id, seg, sum(len) AS len FROM (SELECT source_id, seg, max(end_s) - min(start_s) AS len FROM {blocks('clipped', 'source_id, seg', '0')} GROUP BY source_id, seg, block) GROUP BY ALL),
+counted AS (SELECT source_id, seg, count(DISTINCT family) AS family_count FROM clipped GROUP BY ALL)"""
+
 PAGES = """
 p AS (SELECT page_id % 7 AS source_id, page_id, octet_length(encode(html))::BIGINT AS n FROM pages),
 b AS (
@@ -157,6 +263,11 @@ n AS (
 SELECT a.node AS a, b.node AS b FROM n a JOIN n b ON a.source_id = b.source_id AND a.src = b.src AND a.node < b.node AND abs(a.s - b.s) <= 3
 WHERE least(a.e, b.e) - greatest(a.s, b.s) >= 0.7::DOUBLE * least(a.e - a.s, b.e - b.s)""",
     "content_components": "SELECT doc_id AS node, low AS component FROM (SELECT doc_id, min(doc_id) OVER g AS low, count(*) OVER g AS n FROM documents WINDOW g AS (PARTITION BY text)) WHERE n > 1",
+    "family_stats": f"""{FAMILIES}
+SELECT source_id, 'repeat-' || family AS family_id, classification, known_type, round(confidence, 6) AS confidence, typical, n::INTEGER AS occurrences FROM family""",
+    "timeline_labels": f"""{TIMELINE}
+SELECT source_id, seg::INTEGER AS seg, label, start_s, end_s, round(greatest(0, least(1, confidence)), 6) AS confidence, round(least(1, coalesce(len, 0) / (end_s - start_s)), 6) AS repeat_coverage, coalesce(family_count, 0) AS family_count
+FROM segment LEFT JOIN covered USING (source_id, seg) LEFT JOIN counted USING (source_id, seg)""",
     "interval_blocks": f"""WITH {INT.format('user_id')}
 SELECT k, block::BIGINT AS block, round(min(start_s), 6) AS start_s, round(max(end_s), 6) AS end_s, count(*) AS n FROM {blocks('iv', 'k', '600', 'start_s, end_s, event_id')} GROUP BY k, block""",
     "interval_union": f"""WITH {INT.format('event_type')},
