@@ -134,3 +134,46 @@ SELECT d.doc_id, coalesce(len(parts), 0)::BIGINT AS n_lines, coalesce(len(gone),
   sha256(CASE WHEN gone IS NULL THEN coalesce(d.text, '') ELSE array_to_string([parts[i] FOR i IN range(1, len(parts) + 1) IF NOT list_contains(gone, i - 1)], chr(10)) END) AS text_sha256
 FROM documents d LEFT JOIN docs USING (doc_id) LEFT JOIN gone USING (doc_id)
 """
+
+_TEXT = "SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents"
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"""length({_DIGITS}) BETWEEN 16 AND 19 AND list_sum([(CASE WHEN i % 2 = 1 THEN d ELSE 2 * d - CASE WHEN 2 * d > 9 THEN 9 ELSE 0 END END)
+    FOR d, i IN list_transform(string_split(reverse({_DIGITS}), ''), lambda x: x::INTEGER)]) % 10 = 0"""
+
+
+def _pii_kind(n: int, name: str, pattern: str, valid: str, context: str, base: float, least: float, texts: str = "t", shape: str = "true") -> str:
+    """Valid matches of a kind: r, kind, name, start, end_, score. ``texts`` is the text to search, of the same length as t; what lacks the shape is no match."""
+    return f"""
+SELECT r, {n} AS kind, '{name}' AS name, s AS start, e AS end_, score FROM (
+  SELECT r, m, s, e, {base}::DOUBLE + CASE WHEN regexp_matches(lower(substr(t, greatest(0, s - 48) + 1, s - greatest(0, s - 48)) || chr(10) || substr(t, e + 1, least(48, coalesce(nxt, length(t)) - e))), '{context}') THEN 0.2 ELSE 0 END::DOUBLE AS score
+  FROM (
+    SELECT r, t, m, s, s + length(m) AS e, lead(s) OVER (PARTITION BY r ORDER BY i) AS nxt FROM (
+      SELECT r, t, i, m, (sum(length(g)) OVER w + sum(length(m)) OVER w - length(m))::BIGINT AS s FROM (
+        SELECT r, t, unnest(found) AS m, unnest(gaps[1:len(found)]) AS g, unnest(range(len(found))) AS i
+        FROM (SELECT r, t, regexp_extract_all({texts}, '{pattern}') AS found, regexp_split_to_array({texts}, '{pattern}') AS gaps FROM docs))
+      WINDOW w AS (PARTITION BY r ORDER BY i)) WHERE {shape}))
+WHERE {valid} AND score >= {least}"""
+
+
+#: The patterns are those of the contract; those of iban and ssn say by word bounds and whole runs what the operator says by what stands around.
+_KINDS = (
+    _pii_kind(0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", "mail|contact|correo|courriel", 0.8, 0),
+    _pii_kind(1, "ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(m, '.'), lambda x: try_cast(x AS HUGEINT) IS NULL OR try_cast(x AS HUGEINT) > 255)) = 0", r"(?:^|[^\pL\pN_])ip(?:[^\pL\pN_]|$)|address|host|server", 0.7, 0),
+    _pii_kind(2, "card", r"[0-9](?:[\x20-]?[0-9])+", _LUHN, "card|visa|credit|karte|carte|tarjeta", 0.8, 0),
+    _pii_kind(3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15", "phone|call|tel|mobile|fax", 0.8, 0),
+    _pii_kind(
+        4, "iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+        "length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split(array_to_string([CASE WHEN c BETWEEN 'A' AND 'Z' THEN (ascii(c) - 55)::VARCHAR ELSE c END FOR c IN string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), '')], ''), ''), lambda x: x::INTEGER), lambda a, x: (10 * a + x) % 97) = 1",
+        "iban|account|konto|compte|cuenta", 0.6, 0.55, "translate(t, '_', '~')",
+    ),
+    _pii_kind(5, "ssn", r"[0-9-]+", "NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$')", r"(?:^|[^\pL\pN_])ssn(?:[^\pL\pN_]|$)|social security", 0.4, 0.55, shape="regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}')"),
+)
+OP8 = f"""
+WITH docs AS ({_TEXT}),
+spans AS ({" UNION ALL ".join(_KINDS)})
+SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_email, count(*) FILTER (WHERE kind = 1) AS n_ip, count(*) FILTER (WHERE kind = 2) AS n_card, count(*) FILTER (WHERE kind = 3) AS n_phone,
+  sha256(coalesce(string_agg(name || ':' || start || ':' || end_, ',' ORDER BY kind, start) FILTER (WHERE kind < 4), '')) AS base_sha256,
+  coalesce(string_agg(name || ':' || start || ':' || end_, ',' ORDER BY kind, start) FILTER (WHERE kind IS NOT NULL), '') AS spans,
+  coalesce(string_agg(printf('%.2f', score), ',' ORDER BY kind, start) FILTER (WHERE kind IS NOT NULL), '') AS scores
+FROM docs LEFT JOIN spans USING (r) GROUP BY r, doc_id
+"""

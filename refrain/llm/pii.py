@@ -77,14 +77,14 @@ class Kind:
 ADDRESS = "[A-Za-z0-9._%+-]"
 BASE = (
     Kind("email", rf"(?:\G|(?<!{ADDRESS})){ADDRESS}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda m: F.lit(True), "mail|contact|correo|courriel", 0.8, "@"),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ip_parts, r"\bip\b|address|host|server", 0.7, r"[0-9]\.[0-9]"),
-    Kind("card", r"(?<![0-9])[0-9]++(?:[\x20-][0-9]++)*+", lambda m: between(digits_of(m), 16, 19) & luhn(digits_of(m)), "card|visa|credit|karte|carte|tarjeta", 0.8, r"[0-9](?:[\x20-]?[0-9]){15}"),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ip_parts, r"(?<![\p{L}\p{N}_])ip(?![\p{L}\p{N}_])|address|host|server", 0.7, r"[0-9]\.[0-9]"),
+    Kind("card", r"(?<![0-9])[0-9]++(?:[\x20-][0-9]++)*+(?<=[0-9][\x20-]?[0-9])", lambda m: between(digits_of(m), 16, 19) & luhn(digits_of(m)), "card|visa|credit|karte|carte|tarjeta", 0.8, r"[0-9](?:[\x20-]?[0-9]){15}"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: between(digits_of(m), 8, 15), "phone|call|tel|mobile|fax", 0.8, r"\+[0-9]"),
 )
 #: What the checksums and the context find besides: kept at THRESHOLD or above.
 MORE = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda m: F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34) & mod97(F.replace(m, F.lit(" "), F.lit(""))), "iban|account|konto|compte|cuenta", 0.6, "[A-Z]{2}[0-9]{2}"),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), r"\bssn\b|social security", 0.4, "[0-9]-[0-9]{2}-[0-9]"),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), r"(?<![\p{L}\p{N}_])ssn(?![\p{L}\p{N}_])|social security", 0.4, "[0-9]-[0-9]{2}-[0-9]"),
 )
 #: Characters before a match, whatever stands there, and after it, up to the next match of its kind.
 CONTEXT_CHARS, CONTEXT_BONUS, THRESHOLD = 48, 0.2, 0.55

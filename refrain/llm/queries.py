@@ -42,5 +42,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_dedup": oracle.OP2,
         "op5_pareto_mix": oracle.OP5,
         "op6_minhash_near_dedup": oracle.OP6,
+        "op8_pii_spans": oracle.OP8,
         "op9_warc_round_trip": oracle.OP9,
     }

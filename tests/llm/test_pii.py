@@ -106,6 +106,35 @@ def test_more_spans_equal_brute_force(spark):
     assert hits > 200
 
 
+def test_sql_of_the_query_equals_it_on_odd_texts(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    from refrain.llm.oracle import OP8
+    from refrain.llm.pii import op8_pii_spans
+
+    rng = random.Random(4)
+    iban = "GB82 WEST 1234 5698 7654 32"
+    odd = [
+        f"pay {iban} now", f"_{iban.replace(' ', '')}_ x{iban}", f"account: {iban} {iban}", "ssn 123-45-6789", "-123-45-6789 ssn", "ssn 123-45-6789-", "é😀 my social security: 123-45-6789 078-05-1120",
+        "mail" + "x" * 44 + " a@b.co 1.1.1.1 host", "host 1.1.1.1" + " " * 60 + "2.2.2.2", "visa 4444333322221111\ncard", "call +44 20 7946 0958, fax", "ssn_123-45-6789", "000255.0.0.1 ip",
+    ]
+    pieces = [iban, iban.replace(" ", ""), "123-45-6789", "ssn", "a@b.co", "1.2.3.4", "4444333322221111", "+1 (303) 555-0142", "card", "_", "-", "é😀", "\n", " ", "  ", "mail", "word " * 9]
+    odd += ["".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randint(1, 20))) for _ in range(300)]
+    texts = [t for t in TEXTS if not t or len(t) < 20_000] + odd
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    got = op8_pii_spans(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    found = con.execute(OP8)
+    columns = [d[0] for d in found.description]
+    assert sorted(columns) == sorted(got.columns)
+    want = {r[0]: r for r in found.fetchall()}
+    for r in got.select(*columns).collect():
+        assert tuple(r) == want.pop(r["doc_id"]), texts[r["doc_id"]]
+    assert not want
+
+
 def test_context_on_both_sides_and_over_other_matches(spark):
     far = " x" * 40
     rows = [(1, "123-45-6789 is my social security number", ""), (2, f"123-45-6789{far} ssn", ""), (3, "ssn 111-22-3333 and 123-45-6789", ""), (4, f"ssn{far} 123-45-6789", "")]
