@@ -125,7 +125,13 @@ def video_feature(spark, sf):
 def audio_feature(spark, sf):
     """Features of every embedding as if its numbers were samples."""
     v = AudioExtractor().column(F.col("embedding"))
-    return table(spark, sf, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("norm2"), F.size("v").alias("dim"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    wide = F.transform("v", lambda x: x.cast("double"))
+    return table(spark, sf, "embeddings").select("vec_id", v.alias("v")).select(
+        "vec_id", F.round(total(F.transform(wide, lambda x: x * x)), 4).alias("norm2"), F.size("v").alias("dim"),
+        F.round(total(F.slice(wide, 1, 24)), 5).alias("levels"), F.round(total(F.slice(wide, 121, 8)), 5).alias("shape"),
+        F.round(total(F.transform(wide, lambda x, i: x * (i + 1))), 3).alias("moment"),
+    )
 
 
 @query

@@ -218,7 +218,35 @@ p AS (SELECT page_id % 7 AS source_id, page_id, octet_length(encode(html))::BIGI
 b AS (
   SELECT *, row_number() OVER w - 1 AS i, (sum(n) OVER w - n)::BIGINT AS start_byte, (sum(n) OVER w)::BIGINT AS end_byte FROM p WINDOW w AS (PARTITION BY source_id ORDER BY page_id))"""
 
+#: Features of up to 256 samples: one frame, which lies in the last quarter.
+AUDIO = """WITH sample AS (
+  SELECT vec_id, len(embedding) AS n, unnest(range(len(embedding))) AS i, unnest(embedding)::FLOAT::DOUBLE AS x FROM embeddings),
+bin AS (
+  SELECT b, least(23, floor(ln(b * 15.625::DOUBLE / 60) / ln(3800::DOUBLE / 60) * 24))::INTEGER AS band FROM range(1, 256) t(b) WHERE b * 15.625 BETWEEN 60 AND 3800),
+wave AS (
+  SELECT vec_id, b, sum(x * hann * cos(2 * pi() * b * i / 512)) AS re, sum(x * hann * sin(2 * pi() * b * i / 512)) AS im
+  FROM (SELECT *, 0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / 511) AS hann FROM sample), bin GROUP BY ALL),
+power AS (SELECT vec_id, band, sum(re * re + im * im) AS p FROM wave JOIN bin USING (b) GROUP BY ALL),
+every AS (
+  SELECT v.vec_id, k, coalesce(p, 0) AS p, ln(1 + coalesce(p, 0)) AS l FROM (SELECT DISTINCT vec_id FROM sample) v CROSS JOIN range(24) t(k) LEFT JOIN power w ON w.vec_id = v.vec_id AND w.band = k),
+tone AS (
+  SELECT vec_id, sum(p) AS total, sum(p * k) AS centre, exp(avg(ln(p + 1e-12))) AS geometric, avg(p) AS mean, sum(p) FILTER (WHERE k < 4) AS low, sum(p) FILTER (WHERE k >= 20) AS high FROM every GROUP BY vec_id),
+loud AS (
+  SELECT vec_id, sqrt(avg(x * x)) AS rms, max(abs(x)) AS peak, avg(abs(x)) AS mean_abs, count(*) FILTER (WHERE turned) / max(n)::DOUBLE AS crossings
+  FROM (SELECT *, (x < 0) <> (lag(x) OVER (PARTITION BY vec_id ORDER BY i) < 0) AS turned FROM sample) GROUP BY vec_id),
+part AS (
+  SELECT vec_id, k + 1 AS place, l AS value FROM every
+  UNION ALL SELECT vec_id, 109 + k // 2, sum(l) FROM every GROUP BY vec_id, k // 2
+  UNION ALL SELECT vec_id, unnest(range(121, 129)), unnest([rms, crossings, CASE WHEN total > 0 THEN centre / (23 * total) ELSE 0 END, CASE WHEN total > 0 THEN geometric / mean ELSE 0 END,
+    mean_abs, peak, CASE WHEN peak > 0 THEN rms / peak ELSE 0 END, ln((low + 1e-12) / (high + 1e-12))]) FROM tone JOIN loud USING (vec_id)),
+scaled AS (
+  SELECT vec_id, place, value::FLOAT AS value, sqrt(sum(value::FLOAT::DOUBLE * value::FLOAT::DOUBLE) OVER (PARTITION BY vec_id)) AS norm FROM part),
+feature AS (SELECT vec_id, place, CASE WHEN norm * norm <= 1e-20 THEN value ELSE (value * (1 / norm)::FLOAT)::FLOAT END::DOUBLE AS v FROM scaled)"""
+
 ORACLE: dict[str, str] = {
+    "audio_feature": f"""{AUDIO}
+SELECT vec_id, round(sum(v * v), 4) AS norm2, 128::INTEGER AS dim, round(sum(v) FILTER (WHERE place <= 24), 5) AS levels, round(sum(v) FILTER (WHERE place > 120), 5) AS shape, round(sum(v * place), 3) AS moment
+FROM feature GROUP BY vec_id""",
     "vec_norm": f"SELECT vec_id, round(sqrt({NORM.format('embedding')}), 6) AS norm FROM embeddings",
     "vec_quantize": f"WITH {VEC} SELECT vec_id, list_sum(q)::BIGINT AS sum_q, list_sum(list_transform(q, lambda x: x::BIGINT * x))::BIGINT AS sum_q2 FROM vecs",
     "cosine_pairs": f"""WITH v AS (SELECT vec_id, embedding AS e, {NORM.format('embedding')} AS n2 FROM embeddings),
