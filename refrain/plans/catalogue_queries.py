@@ -113,24 +113,32 @@ def base_vectors_union(spark, sf):
     return base_vectors(media, b, w).select("source_id", "kind", "start_s", "end_s", six(F.element_at("values", 1)).alias("v1"), six(F.element_at("values", 2)).alias("v2"))
 
 
+def _total(numbers):
+    return F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)
+
+
 @query
 def video_feature(spark, sf):
     """Features of every page's first 576 bytes as a grey picture; shorter ones are filled with zeros."""
     gray = F.substring(F.rpad(F.to_binary(F.coalesce("html", F.lit("")), F.lit("utf-8")), 576, F.to_binary(F.lit("00"), F.lit("hex"))), 1, 576)
     v = VideoExtractor().column(gray)
-    return table(spark, sf, "pages").select("page_id", v.alias("v")).select("page_id", F.round(F.element_at("v", 1).cast("double"), 5).alias("mean_level"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("norm2"), F.size("v").alias("dim"))
+    wide = F.transform("v", lambda x: x.cast("double"))
+    return table(spark, sf, "pages").select("page_id", v.alias("v")).select(
+        "page_id", F.round(F.element_at(wide, 1), 5).alias("mean_level"), F.round(_total(F.transform(wide, lambda x: x * x)), 4).alias("norm2"), F.size("v").alias("dim"),
+        F.round(_total(F.slice(wide, 2, 63)), 5).alias("waves"), F.round(_total(F.slice(wide, 113, 16)), 5).alias("edges"),
+        F.round(_total(F.transform(wide, lambda x, i: x * (i + 1))), 3).alias("moment"),
+    )
 
 
 @query
 def audio_feature(spark, sf):
     """Features of every embedding as if its numbers were samples."""
     v = AudioExtractor().column(F.col("embedding"))
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     wide = F.transform("v", lambda x: x.cast("double"))
     return table(spark, sf, "embeddings").select("vec_id", v.alias("v")).select(
-        "vec_id", F.round(total(F.transform(wide, lambda x: x * x)), 4).alias("norm2"), F.size("v").alias("dim"),
-        F.round(total(F.slice(wide, 1, 24)), 5).alias("levels"), F.round(total(F.slice(wide, 121, 8)), 5).alias("shape"),
-        F.round(total(F.transform(wide, lambda x, i: x * (i + 1))), 3).alias("moment"),
+        "vec_id", F.round(_total(F.transform(wide, lambda x: x * x)), 4).alias("norm2"), F.size("v").alias("dim"),
+        F.round(_total(F.slice(wide, 1, 24)), 5).alias("levels"), F.round(_total(F.slice(wide, 121, 8)), 5).alias("shape"),
+        F.round(_total(F.transform(wide, lambda x, i: x * (i + 1))), 3).alias("moment"),
     )
 
 

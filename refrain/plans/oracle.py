@@ -218,8 +218,11 @@ p AS (SELECT page_id % 7 AS source_id, page_id, octet_length(encode(html))::BIGI
 b AS (
   SELECT *, row_number() OVER w - 1 AS i, (sum(n) OVER w - n)::BIGINT AS start_byte, (sum(n) OVER w)::BIGINT AS end_byte FROM p WINDOW w AS (PARTITION BY source_id ORDER BY page_id))"""
 
+SCALED = """scaled AS (
+  SELECT {0}, place, value::FLOAT AS value, sqrt(sum(value::FLOAT::DOUBLE * value::FLOAT::DOUBLE) OVER (PARTITION BY {0})) AS norm FROM part),
+feature AS (SELECT {0}, place, CASE WHEN norm * norm <= 1e-20 THEN value ELSE (value * (1 / norm)::FLOAT)::FLOAT END::DOUBLE AS v FROM scaled)"""
 #: Features of up to 256 samples: one frame, which lies in the last quarter.
-AUDIO = """WITH sample AS (
+AUDIO = f"""WITH sample AS (
   SELECT vec_id, len(embedding) AS n, unnest(range(len(embedding))) AS i, unnest(embedding)::FLOAT::DOUBLE AS x FROM embeddings),
 bin AS (
   SELECT b, least(23, floor(ln(b * 15.625::DOUBLE / 60) / ln(3800::DOUBLE / 60) * 24))::INTEGER AS band FROM range(1, 256) t(b) WHERE b * 15.625 BETWEEN 60 AND 3800),
@@ -239,11 +242,31 @@ part AS (
   UNION ALL SELECT vec_id, 109 + k // 2, sum(l) FROM every GROUP BY vec_id, k // 2
   UNION ALL SELECT vec_id, unnest(range(121, 129)), unnest([rms, crossings, CASE WHEN total > 0 THEN centre / (23 * total) ELSE 0 END, CASE WHEN total > 0 THEN geometric / mean ELSE 0 END,
     mean_abs, peak, CASE WHEN peak > 0 THEN rms / peak ELSE 0 END, ln((low + 1e-12) / (high + 1e-12))]) FROM tone JOIN loud USING (vec_id)),
-scaled AS (
-  SELECT vec_id, place, value::FLOAT AS value, sqrt(sum(value::FLOAT::DOUBLE * value::FLOAT::DOUBLE) OVER (PARTITION BY vec_id)) AS norm FROM part),
-feature AS (SELECT vec_id, place, CASE WHEN norm * norm <= 1e-20 THEN value ELSE (value * (1 / norm)::FLOAT)::FLOAT END::DOUBLE AS v FROM scaled)"""
+{SCALED.format('vec_id')}"""
+
+VIDEO = f"""WITH hexed AS (SELECT page_id, rpad(substr(hex(encode(coalesce(html, ''))), 1, 1152), 1152, '0') AS h FROM pages),
+px AS (SELECT page_id, i // 32 AS y, i % 32 AS x, ('0x' || substr(h, 2 * i + 1, 2))::INTEGER AS p FROM hexed, range(576) t(i)),
+mean AS (SELECT page_id, avg(p) AS mean FROM px GROUP BY page_id),
+near AS (
+  SELECT page_id, y, x, lead(p) OVER r - lag(p) OVER r AS gx, lead(p) OVER c - lag(p) OVER c AS gy FROM px WINDOW r AS (PARTITION BY page_id, y ORDER BY x), c AS (PARTITION BY page_id, x ORDER BY y)),
+steep AS (
+  SELECT page_id, 4 * (CASE WHEN y >= 9 THEN 2 ELSE 0 END + CASE WHEN x >= 16 THEN 1 ELSE 0 END) + CASE WHEN abs(gx) > 2 * abs(gy) THEN 0 WHEN abs(gy) > 2 * abs(gx) THEN 1 WHEN gx * gy >= 0 THEN 2 ELSE 3 END AS k,
+    sqrt((gx * gx + gy * gy)::DOUBLE) AS size FROM near WHERE y BETWEEN 1 AND 16 AND x BETWEEN 1 AND 30),
+found AS (
+  SELECT page_id, 8 * k + l + 1 AS place, sum(cos(pi() * (2 * y + 1) * k / 36) * (p - mean) * cos(pi() * (2 * x + 1) * l / 64)) / (255 * 576) AS value
+  FROM px JOIN mean USING (page_id), range(8) a(k), range(8) b(l) WHERE k + l > 0 GROUP BY page_id, k, l
+  UNION ALL SELECT page_id, 1, mean / 255 FROM mean
+  UNION ALL SELECT page_id, 65 + 8 * CASE WHEN y < 4 THEN 0 WHEN y < 9 THEN 1 WHEN y < 13 THEN 2 ELSE 3 END + x // 4 AS place, (avg(p) - any_value(mean)) / 255 FROM px JOIN mean USING (page_id) GROUP BY page_id, place
+  UNION ALL SELECT page_id, 97 + p // 16 AS place, count(*) / 576::DOUBLE FROM px GROUP BY page_id, place
+  UNION ALL SELECT page_id, 113 + k, sum(size) / any_value(total) FROM steep JOIN (SELECT page_id, sum(size) AS total FROM steep GROUP BY page_id) USING (page_id) WHERE total > 0 GROUP BY page_id, k),
+part AS (SELECT page_id, place, coalesce(value, 0) AS value FROM mean CROSS JOIN range(1, 129) t(place) LEFT JOIN found USING (page_id, place)),
+{SCALED.format('page_id')}"""
 
 ORACLE: dict[str, str] = {
+    "video_feature": f"""{VIDEO}
+SELECT page_id, round(max(v) FILTER (WHERE place = 1), 5) AS mean_level, round(sum(v * v), 4) AS norm2, 128::INTEGER AS dim, round(sum(v) FILTER (WHERE place BETWEEN 2 AND 64), 5) AS waves,
+  round(sum(v) FILTER (WHERE place > 112), 5) AS edges, round(sum(v * place), 3) AS moment
+FROM feature GROUP BY page_id""",
     "audio_feature": f"""{AUDIO}
 SELECT vec_id, round(sum(v * v), 4) AS norm2, 128::INTEGER AS dim, round(sum(v) FILTER (WHERE place <= 24), 5) AS levels, round(sum(v) FILTER (WHERE place > 120), 5) AS shape, round(sum(v * place), 3) AS moment
 FROM feature GROUP BY vec_id""",
