@@ -1,234 +1,145 @@
 """Operator 2, line dedup: exact lines by hash, fuzzy lines by MinHash, one line per component.
 
-A line's set is its distinct shingles: the eight lower-cased characters from every position of the
-whole line; a line of fewer is one shingle. Lines are similar with a Jaccard similarity of 0.75 of these
-sets, at any length.
-
-One pass over the texts hashes and signs the lines, equal ones of a batch once; equal lines are
-then one before anything is compared. The signature has 24 MinHash values in eight bands of three:
-that misses 1.3 % of the pairs at a similarity of exactly 0.75, 0.3 % at 0.8 and one in 2,000 at 0.85. Lines that share
-a band are candidates. A task gets up to BLOCK lines of a band, and the first line of the band with them, and
-compares the full sets of those that no link joins yet; a union-find over the links gives the components.
-Bands of more lines are then compared block by block where components are still apart.
-
-Shingles are cut with numpy: SQL functions over every position of every line take three
-times the CPU time that the operator may take (README).
+Everything is DataFrame and SQL functions. A line's set is its distinct shingles: the eight lower-cased
+characters from every position of the whole line; a line of fewer is one shingle. Lines are similar with a
+Jaccard similarity of 0.75 of these sets, at any length.
+
+Shingles are slices of the line in UTF-32, of which any is found at once. To sign lines they are rows of a
+whole-stage aggregate, without an array of hashes and a function per element. The signature has 24 MinHash
+values in eight bands of three; a value is the least hash after its bits are flipped by the value's constant,
+thus the hash nearest to a point. With independent values that would miss 1.3 % of the pairs at a similarity of
+exactly 0.75, 0.3 % at 0.8 and one in 2,000 at 0.85. Lines that share a band are candidates. Full sets are
+compared: every line of a band with the band's first, then in bands where a union-find leaves components apart, the
+lines of different components, in blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refrain.llm.graph import connected_components
-from refrain.llm.near_dedup import hash_parameters, least_matches
 from refrain.llm.scratch import Scratch, read
 
 BLANKS = " \t\n\v\f\r"
-#: Characters of a shingle, bands and values of a band; lines of a band that one task compares.
-WIDTH, BANDS, ROWS, BLOCK = 8, 8, 3, 1024
-#: Characters whose shingles are hashed at once; what fills up a line shorter than a shingle and is in no text.
-CHUNK, PAD = 1 << 16, "\udfff"
-FACTORS, MORE, MIX = hash_parameters(BANDS * ROWS, 21).astype(np.uint32), hash_parameters(64, 22).astype(np.uint32), hash_parameters(ROWS, 23)
+#: Characters of a shingle, bands and values of a band; places that a row signs; lines and characters of a block;
+#: further rounds with one line of a band; pairs for a line of a block that are rows.
+WIDTH, BANDS, ROWS, STEP, BLOCK, CHARS, HUBS, MANY = 8, 8, 3, 16, 256, 1 << 20, 2, 2
+POINTS = np.random.default_rng(21).integers(-(2**31), 2**31, BANDS * ROWS).tolist()
 PLACE = ("doc_id", "row", "line_no")
 
 
-def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the shingles of all lines, one line after the other, and where each line's begin."""
-    low = [x if len(x) >= WIDTH else x + PAD * (WIDTH - len(x)) for x in map(str.lower, lines)]
-    sizes = np.fromiter(map(len, low), np.int64, len(low))
-    ends = sizes.cumsum()
-    h = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    inside = np.ones(len(h), bool)  # not those that reach into the next line
-    for k in range(1, WIDTH):
-        inside[ends - k] = False
-    factor = 0x9E3779B97F4A7C15
-    for step in (1, 2, 4):  # a polynomial of 2, 4, then 8 characters
-        h = h[:-step] * np.uint64(pow(factor, step, 1 << 64)) + h[step:]
-    h = h[inside[: len(h)]]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    starts = ends - (WIDTH - 1) * np.arange(1, len(low) + 1) - (sizes - WIDTH + 1)
-    return h, starts
-
-
-def minima(h: np.ndarray, starts: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """[lines, factors] the smallest value of each line's shingles under each multiplication."""
-    mixed = (h >> np.uint64(32)).astype(np.uint32)
-    return np.stack([np.minimum.reduceat(mixed * f, starts) for f in factors], axis=1)
-
-
-def chunks(lines: list[str]) -> Iterator[list[str]]:
-    """lines in parts of about CHUNK characters."""
-    part, size = [], 0
-    for x in lines:
-        part.append(x)
-        size += len(x)
-        if size >= CHUNK:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def usable(docs: DataFrame) -> DataFrame:
+    """doc_id, row (a hash of the text), text of the rows that have both."""
+    return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("row"), "text")
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, row, line_no (from 0), line, id, id2 (the line's hash) of every line that holds a word."""
+    lines = usable(docs).select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = lines.filter(F.ltrim("line", F.lit(BLANKS)) != "")
+    return lines.select("*", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"))
+
+
+def code_points(line: Column) -> Column:
+    """The lower-cased line, four bytes a character."""
+    return F.encode(F.lower(line), "UTF-32")
+
+
+def places(code: Column) -> Column:
+    """Where the shingles of code_points begin."""
+    return F.sequence(F.lit(1), F.greatest(F.octet_length(code) - (4 * WIDTH - 1), F.lit(1)), F.lit(4))
+
+
+def hashes(line: Column) -> Column:
+    """64-bit hashes of the line's shingles, in order, repeats included."""
+    cut = lambda code: F.transform(places(code), lambda at: F.xxhash64(F.substring(code, at, F.lit(4 * WIDTH))))
+    return F.flatten(F.transform(F.array(code_points(line)), cut))
+
+
+def signed(lines: DataFrame) -> DataFrame:
+    """lines(id, line) -> id, keys: the bands of every line; lines with equal sets have equal ones."""
+    coded = lines.select("id", code_points(F.col("line")).alias("code"))
+    coded = coded.select("id", "code", F.greatest(F.octet_length("code") - (4 * WIDTH - 1), F.lit(1)).alias("last"))
+    rows = coded.select("id", "code", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * STEP))).alias("at"))
+    # A row has STEP places; those after the last shingle count that one again.
+    cut = [F.hash(F.substring(F.col("code"), F.least(F.col("at") + 4 * k, F.col("last")), F.lit(4 * WIDTH))).alias(f"h{k}") for k in range(STEP)]
+    least = [F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(x)) for k in range(STEP)])).alias(f"v{n}") for n, x in enumerate(POINTS)]
+    values = rows.select("id", *cut).groupBy("id").agg(*least)
+    return values.select("id", F.array(*[F.xxhash64(F.lit(k), *[f"v{k * ROWS + i}" for i in range(ROWS)]) for k in range(BANDS)]).alias("keys"))
+
+
+def _few_lines(lines: list[str]) -> DataFrame:
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    return spark.createDataFrame(list(enumerate(lines)), "id long, line string")
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
-    """[lines, BANDS] keys; lines with equal sets have equal ones."""
-    out = [np.empty((0, BANDS), np.uint64)]
-    for part in chunks(lines):
-        values = minima(*shingles(part), FACTORS).astype(np.uint64).reshape(len(part), BANDS, ROWS)
-        keys = np.zeros((len(part), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-        for k in range(ROWS):
-            keys = (keys ^ values[:, :, k]) * MIX[k]
-            keys ^= keys >> np.uint64(31)
-        out.append(keys)
-    return np.concatenate(out)
+    """[lines, BANDS] keys of a few lines, collected."""
+    return np.array([r["keys"] for r in signed(_few_lines(lines)).orderBy("id").collect()], np.int64).reshape(-1, BANDS)
 
 
-def usable(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of the text), text of the rows that have both."""
-    return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("row"), "text")
+def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of a few lines, one line after the other, collected, and where each line's begin."""
+    found = [r["h"] for r in _few_lines(lines).select("id", hashes(F.col("line")).alias("h")).orderBy("id").collect()]
+    return np.concatenate(found), np.cumsum([0, *map(len, found[:-1])])
+
 
+def similar(s: Column, t: Column, percent: int) -> Column:
+    """Whether two sets, arrays without repeats, have 100 * intersection >= percent * union."""
+    both, n, m = F.size(F.array_intersect(s, t)).cast("long"), F.size(s), F.size(t)
+    return may_link(n, m, percent) & ((100 + percent) * both >= percent * (n.cast("long") + m))
 
-def signed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, row, line_no (from 0), id, id2 (the line's hash), keys of every line that holds a word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place, found, at = [], {}, []
-            for k, text in enumerate(batch["text"].to_pylist()):
-                for n, line in enumerate(text.split("\n")):
-                    if line.strip(BLANKS):
-                        place.append((k, n))
-                        at.append(found.setdefault(line, len(found)))
-            if not place:
-                continue
-            lines, at = list(found), np.array(at, np.int64)
-            keys = band_keys(lines)[at].view(np.int64)
-            ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines), np.int64).reshape(-1, 2)[at]
-            doc, number = np.array(place, np.int64).T
-            offsets = np.arange(0, keys.size + 1, BANDS, dtype=np.int32)
-            columns = [batch["doc_id"].take(pa.array(doc)), batch["row"].take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(ids[:, 0]), pa.array(ids[:, 1])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], names=[*PLACE, "id", "id2", "keys"])
-
-    doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return usable(docs).mapInArrow(run, f"doc_id {doc_id}, row long, line_no int, id long, id2 long, keys array<long>")
-
-
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets of hashes have 100 * intersection >= percent * union."""
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False
-    both = np.concatenate((x, y))
-    both.sort()
-    n = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * n >= percent * (len(both) - n)
-
-
-def distinct(h: np.ndarray) -> np.ndarray:
-    h = np.sort(h)
-    new = np.empty(len(h), bool)
-    new[0] = True
-    np.not_equal(h[1:], h[:-1], out=new[1:])
-    return h if new.all() else h[new]
-
-
-def sets_of(lines: list[str]) -> list[np.ndarray]:
-    out = []
-    for part in chunks(lines):
-        h, starts = shingles(part)
-        bounds = [*starts.tolist(), len(h)]
-        out += [distinct(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    return out
-
-
-def linked(ids: list[int], c: list[int], own: list[int], sets: list[np.ndarray], lines: list[str], percent: int) -> list[tuple[int, int]]:
-    """Links(a, b) between components c of lines that join all that are similar enough.
-
-    Two lines that links already join are not compared, since only components are asked for; nor are
-    two of one value of ``own`` where there are several.
+
+def may_link(n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * F.least(n, m).cast("long") >= percent * F.greatest(n, m).cast("long")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) of similar lines; dealt out by b for the comparison."""
+    lines = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
+    lines = lines.join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
+    sets = lines.select("a", "b", *[F.array_distinct(hashes(F.col(f"line_{x}"))).alias(f"s{x}") for x in "ab"])
+    return sets.filter(similar(F.col("sa"), F.col("sb"), percent)).select("a", "b")
+
+
+def compared(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """links(a, b) between components c in each bucket, i, j of rows(bucket, i, j, id, c, own, among); where i and j differ, between blocks.
+
+    Of the buckets that two lines share, which are in ``among``, the least compares them.
     """
-    across = len(set(own)) > 1
-    if len(ids) <= 16:
-        root, out = list(c), []
-        for x in range(len(ids)):
-            for y in range(x + 1, len(ids)):
-                if root[x] != root[y] and not (across and own[x] == own[y]) and similar(sets[x], sets[y], percent):
-                    out.append((ids[x], ids[y]))
-                    old, new = root[y], root[x]
-                    root = [new if r == old else r for r in root]
-        return out
-    root, part, out = np.unique(c, return_inverse=True)[1], np.array(own), []
-    sizes = np.array([len(x) for x in sets])
-    values = np.concatenate([minima(*shingles(some), MORE) for some in chunks(lines)])
-    least = least_matches(percent / 100, 1e-6, [len(MORE)])[len(MORE)]
-    for x in range(len(ids)):
-        may = (root != root[x]) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x]))
-        may[: x + 1] = False
-        if across:
-            may &= part != part[x]
-        others = np.flatnonzero(may)
-        for y in others[(values[others] == values[x]).sum(axis=1) >= least]:
-            if root[x] != root[y] and similar(sets[x], sets[y], percent):
-                out.append((ids[x], ids[y]))
-                root[root == root[y]] = root[x]
-    return out
-
-
-def compared(rows: DataFrame, keys: list[str], texts: DataFrame, percent: int) -> DataFrame:
-    """links(a, b) in each group by keys of rows(keys, id, c, own)."""
-
-    def links(columns: list[list], bounds: list[int]) -> pa.RecordBatch:
-        ids, c, own, lines = columns
-        out, first = [], 0
-        while first < len(bounds) - 1:  # groups of a few chunks' characters together
-            last, size = first + 1, 0
-            while last < len(bounds) and (last == first + 1 or size < 4 * CHUNK):
-                size += sum(map(len, lines[bounds[last - 1] : bounds[last]]))
-                last += 1
-            start = bounds[first]
-            sets = sets_of(lines[start : bounds[last - 1]])
-            for a, b in zip(bounds[first : last - 1], bounds[first + 1 : last], strict=True):
-                out += linked(ids[a:b], c[a:b], own[a:b], sets[a - start : b - start], lines[a:b], percent)
-            first = last - 1
-        pairs = np.array([(min(p), max(p)) for p in out], np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            part = pa.Table.from_batches([batch])
-            part = part if rest is None else pa.concat_tables([rest, part]).combine_chunks()
-            if not len(part):
-                continue
-            key = np.stack([part[k].to_numpy() for k in keys])
-            bounds = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
-            if bounds[-1]:
-                yield links([part[k].slice(0, bounds[-1]).to_pylist() for k in ("id", "c", "own", "line")], bounds)
-            rest = part.slice(bounds[-1])  # the last group may go on in the next batch
-        if rest is not None and len(rest):
-            yield links([rest[k].to_pylist() for k in ("id", "c", "own", "line")], [0, len(rest)])
-
-    full = rows.join(texts, "id").select(*keys, "id", "c", "own", "line")
-    return full.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(run, "a long, b long")
-
-
-def line_components(exact: DataFrame, docs: DataFrame, scratch: Scratch, percent: int, block: int) -> DataFrame:
-    """(node, component) of the lines exact(id, first, keys) that links join."""
-    keyed = exact.select("id", F.explode("keys").alias("bucket"))
+    kept = ("id", "c", "own", "among")
+    full = rows.join(texts, "id").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct(*kept, "line")).alias("lines"))
+    sets = F.transform("lines", lambda x: F.struct(*[x[k].alias(k) for k in kept], F.array_distinct(hashes(x["line"])).alias("s")))
+    full = full.select("bucket", (F.col("i") != F.col("j")).alias("across"), sets.alias("lines"))
+
+    def due(x: Column, y: Column) -> Column:
+        alone = (F.size(x["among"]) == 1) | (F.size(y["among"]) == 1)
+        apart = (x["id"] < y["id"]) & (x["c"] != y["c"]) & (~F.col("across") | (x["own"] != y["own"]))
+        return apart & may_link(F.size(x["s"]), F.size(y["s"]), percent) & (alone | (F.array_min(F.array_intersect(x["among"], y["among"])) == F.col("bucket")))
+
+    partners = lambda x, k: F.array_compact(F.transform("lines", lambda y, n: F.when(due(x, y), F.struct(k.alias("k"), n.alias("n")))))
+    pairs = full.select("lines", F.flatten(F.transform("lines", partners)).alias("due"))
+    # Pairs are rows where they are few for their lines; many stay in their block's row.
+    here = lambda p: similar(F.col("lines")[p["k"]]["s"], F.col("lines")[p["n"]]["s"], percent)
+    pairs = pairs.withColumn("due", F.when(F.size("due") > MANY * F.size("lines"), F.filter("due", here)).otherwise(F.col("due")))
+    pairs = pairs.select("lines", F.explode("due").alias("at"))
+    pairs = pairs.select(*[F.col("lines")[F.col(f"at.{v}")].alias(x) for x, v in (("x", "k"), ("y", "n"))])
+    return pairs.filter(similar(F.col("x.s"), F.col("y.s"), percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def line_components(keys: DataFrame, exact: DataFrame, docs: DataFrame, scratch: Scratch, percent: int, block: int) -> DataFrame:
+    """(node, component) of the lines keys(id, keys), exact(id, first) that links join."""
+    keyed = keys.select("id", F.explode("keys").alias("bucket"))
     each = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("total")).filter("n > 1")
     # Bands with the same lines are one.
     each = scratch.table(each.groupBy("n", "low", "total").agg(F.min("bucket").alias("bucket")).drop("total"), "bands")
     scratch.free()
-    rows = keyed.join(each, "bucket").select("bucket", "id", "n", "low", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = scratch.table(rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "candidates")
-    bands = each
-    del keyed
+    rows = scratch.table(keyed.join(each, "bucket").select("bucket", "id", "n", "low"), "candidates")
+    scratch.drop(each, keys)
+    del keyed, each
     scratch.free()
 
     wanted = exact.join(rows.select("id").distinct(), "id", "left_semi").groupBy("first.doc_id", "first.row").agg(F.collect_set(F.struct("first.line_no", "id")).alias("at"))
@@ -238,33 +149,44 @@ def line_components(exact: DataFrame, docs: DataFrame, scratch: Scratch, percent
     del wanted, split, picked
     scratch.free()
 
-    one = rows.select("bucket", F.col("own").alias("block"), "id")
-    hubs = rows.filter("blocks > 1 AND id = low").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "own").filter("block != own").drop("own")
-    first = one.unionByName(hubs).select("bucket", "block", "id", F.col("id").alias("c"), F.lit(0).alias("own"))
-    links = scratch.table(compared(first, ["bucket", "block"], texts, percent), "links")
+    first = rows.filter("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    links = scratch.table(confirmed(first, texts, percent), "links")
     found = connected_components(links, scratch)
 
-    big = rows.filter("blocks > 1").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    mixed = big.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("bucket")
-    big = scratch.table(big.join(mixed, "bucket").select("bucket", "id", "c", "own", "blocks"), "apart")
+    for k in range(HUBS + 1):
+        big = rows.filter("n > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
+        mixed = big.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.min(F.struct(F.xxhash64("id", F.lit(k)), "id", "c")).alias("hub")).filter("least < most")
+        big = scratch.table(big.join(mixed.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.c").alias("hub_c")), "bucket"), "apart")
+        parts = big.groupBy("bucket", "c").agg(F.count("*").alias("m"), F.first("n").alias("n")).agg(F.sum(F.col("m") * (F.col("n") - F.col("m")) / 2))
+        if k == HUBS or (parts.first()[0] or 0) <= 4 * big.count():
+            break
+        with_hub = big.filter("c != hub_c").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        links = scratch.table(links.unionByName(confirmed(with_hub, texts, percent)), "links")
+        found = connected_components(links, scratch)
+        scratch.drop(big)
     if not big.isEmpty():
-        dealt = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("own != other")
+        sizes = big.join(texts.select("id", F.length("line").cast("long").alias("chars")), "id").groupBy("bucket").agg(F.sum("chars").alias("chars"), F.first("n").alias("n"))
+        sizes = sizes.select("bucket", F.ceil(F.greatest(F.col("n") / block, F.least("n", F.col("chars") / CHARS))).cast("int").alias("blocks"))
+        among = big.groupBy("id").agg(F.collect_list("bucket").alias("among"))
+        dealt = big.select("bucket", "id", "c").join(sizes, "bucket").join(among, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-        more = scratch.table(compared(dealt, ["bucket", "i", "j"], texts, percent), "links")
+        more = scratch.table(compared(dealt, texts, percent), "links")
         if not more.isEmpty():
             found = connected_components(links.unionByName(more), scratch)
-    scratch.drop(rows, texts, big, bands)
+    scratch.drop(rows, texts, big)
     return found
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 75, block: int = BLOCK) -> DataFrame:
     """doc_id, row, gone: the numbers of the lines that another one stands for."""
-    lines = scratch.table(signed_lines(docs), "lines")
-    place = F.struct(*PLACE)
-    exact = scratch.table(lines.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "exact")
-    components = line_components(exact, docs, scratch, percent, block)
+    keys = scratch.table(signed(lines_of(docs)), "keys")
+    scratch.free()
+    lines, place = lines_of(docs).drop("line"), F.struct(*PLACE)
+    exact = scratch.table(lines.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "exact")
+    components = line_components(keys, exact, docs, scratch, percent, block)
     scratch.free()
-    groups = exact.drop("keys").join(components.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 OR component IS NOT NULL")
+    groups = exact.join(components.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 OR component IS NOT NULL")
     groups = groups.select("id", "id2", "first", F.coalesce("component", "id").alias("c"), F.when(F.col("component").isNull(), F.col("id2")).alias("c2"))
     groups = scratch.table(groups, "groups")
     scratch.drop(exact)
@@ -272,7 +194,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 75, block: i
     verdict = groups.join(first, (F.col("c") == F.col("d")) & F.col("c2").eqNullSafe(F.col("d2"))).select("id", "id2", "keep")
     gone = lines.select(*PLACE, "id", "id2").join(verdict, ["id", "id2"]).filter(place != F.col("keep"))
     gone = scratch.table(gone.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone")), "gone")
-    scratch.drop(lines, groups)
+    scratch.drop(groups)
     return gone
 
 

@@ -120,3 +120,31 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_no_python_on_the_executors(spark, monkeypatch):
+    plans, table = [], Scratch.table
+
+    def noted(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return table(self, df, name)
+
+    monkeypatch.setattr(Scratch, "table", noted)
+    base = "one line of a few words that is often met"
+    df = spark.createDataFrame([(i, f"{base}\n{base}{'!' * (i % 3)}\n{i}") for i in range(9)], "doc_id long, text string")
+    out = dedup_lines(df)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5
+    assert not [p for p in plans if re.search("MapIn|Python|Pandas|ArrowEval", p)]
+
+
+@pytest.mark.parametrize("many", [0, 1000])
+def test_pairs_of_a_block_as_rows_or_in_its_row(spark, monkeypatch, many):
+    monkeypatch.setattr("refrain.llm.line_dedup.MANY", many)
+    monkeypatch.setattr("refrain.llm.line_dedup.HUBS", 0)
+    rng = random.Random(7)
+    base = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300))
+    rows = [(i, base[: 300 - 9 * (i % 20)] + "".join(rng.choices("XYZW", k=i % 7))) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {r["doc_id"] for r in removed_lines(df, Scratch(spark, "t"), block=6).collect()}
+    assert gone == {d for d, t in brute(rows).items() if not t}
