@@ -8,9 +8,10 @@ Shingles are slices of the line in UTF-32, of which any is found at once. To sig
 whole-stage aggregate, without an array of hashes and a function per element. The signature has 24 MinHash
 values in eight bands of three; a value is the least hash after its bits are flipped by the value's constant,
 thus the hash nearest to a point. With independent values that would miss 1.3 % of the pairs at a similarity of
-exactly 0.75, 0.3 % at 0.8 and one in 2,000 at 0.85. Lines that share a band are candidates. Full sets are
-compared: every line of a band with the band's first, then in bands where a union-find leaves components apart, the
-lines of different components, in blocks.
+exactly 0.75, 0.3 % at 0.8 and one in 2,000 at 0.85. Lines that share a band are candidates: every line of a band with
+the band's first, then in bands where a union-find leaves components apart, the lines of different components, in blocks.
+Of candidates with AGREE equal values of 24 or more, and of those with a line of fewer than LONG shingles, the full sets are
+compared. Of pairs at a similarity of exactly 0.75 that share a band, fewer equal values were met in none of 20,000.
 """
 
 from __future__ import annotations
@@ -19,15 +20,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm.graph import connected_components
+from refrain.llm.graph import connected_components, relabelled
 from refrain.llm.scratch import Scratch, read
 
 BLANKS = " \t\n\v\f\r"
-#: Characters of a shingle, bands and values of a band; places that a row signs; lines and characters of a block;
-#: further rounds with one line of a band; pairs for a line of a block that are rows.
-WIDTH, BANDS, ROWS, STEP, BLOCK, CHARS, HUBS, MANY = 8, 8, 3, 16, 256, 1 << 20, 2, 2
+#: Characters of a shingle, bands and values of a band; places that a row signs; lines of a block;
+#: further rounds with one line of a band; pairs of signatures for a line of a band, beyond which there is such a round.
+WIDTH, BANDS, ROWS, STEP, BLOCK, HUBS, MANY = 8, 8, 3, 16, 256, 2, 32
 POINTS = np.random.default_rng(21).integers(-(2**31), 2**31, BANDS * ROWS).tolist()
+VALUES = [f"v{n}" for n in range(BANDS * ROWS)]
 PLACE = ("doc_id", "row", "line_no")
+#: Lines of so many shingles are not compared in full if fewer values of their signatures agree, at 75 percent.
+LONG, AGREE = 24, 9
 
 
 def usable(docs: DataFrame) -> DataFrame:
@@ -59,15 +63,19 @@ def hashes(line: Column) -> Column:
 
 
 def signed(lines: DataFrame) -> DataFrame:
-    """lines(id, line) -> id, keys: the bands of every line; lines with equal sets have equal ones."""
+    """lines(id, line) -> id, n, VALUES: how many shingles a line has, repeats included, and its signature; lines with equal sets have equal VALUES."""
     coded = lines.select("id", code_points(F.col("line")).alias("code"))
     coded = coded.select("id", "code", F.greatest(F.octet_length("code") - (4 * WIDTH - 1), F.lit(1)).alias("last"))
     rows = coded.select("id", "code", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * STEP))).alias("at"))
     # A row has STEP places; those after the last shingle count that one again.
     cut = [F.hash(F.substring(F.col("code"), F.least(F.col("at") + 4 * k, F.col("last")), F.lit(4 * WIDTH))).alias(f"h{k}") for k in range(STEP)]
-    least = [F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(x)) for k in range(STEP)])).alias(f"v{n}") for n, x in enumerate(POINTS)]
-    values = rows.select("id", *cut).groupBy("id").agg(*least)
-    return values.select("id", F.array(*[F.xxhash64(F.lit(k), *[f"v{k * ROWS + i}" for i in range(ROWS)]) for k in range(BANDS)]).alias("keys"))
+    least = [F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(x)) for k in range(STEP)])).alias(v) for v, x in zip(VALUES, POINTS, strict=True)]
+    return rows.select("id", "last", *cut).groupBy("id").agg((F.max("last") / 4).cast("int").alias("n"), *least)
+
+
+def bands(signs: DataFrame) -> DataFrame:
+    """id, keys: the bands of signed lines."""
+    return signs.select("id", F.array(*[F.xxhash64(F.lit(k), *VALUES[k * ROWS : (k + 1) * ROWS]) for k in range(BANDS)]).alias("keys"))
 
 
 def _few_lines(lines: list[str]) -> DataFrame:
@@ -77,7 +85,7 @@ def _few_lines(lines: list[str]) -> DataFrame:
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """[lines, BANDS] keys of a few lines, collected."""
-    return np.array([r["keys"] for r in signed(_few_lines(lines)).orderBy("id").collect()], np.int64).reshape(-1, BANDS)
+    return np.array([r["keys"] for r in bands(signed(_few_lines(lines))).orderBy("id").collect()], np.int64).reshape(-1, BANDS)
 
 
 def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +105,22 @@ def may_link(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m).cast("long") >= percent * F.greatest(n, m).cast("long")
 
 
+def alike(x: str, y: str, percent: int) -> Column:
+    """Whether the signatures with these prefixes are of lines that may be similar enough to compare them."""
+    agree = sum((F.col(f"{x}{v}") == F.col(f"{y}{v}")).cast("int") for v in VALUES)
+    return (F.col(f"{x}n") < LONG) | (F.col(f"{y}n") < LONG) | (75 * agree >= AGREE * percent)
+
+
+def prefixed(signs: DataFrame, x: str) -> DataFrame:
+    return signs.select(*[F.col(c).alias(f"{x}{c}") for c in ("id", "n", *VALUES)])
+
+
+def sifted(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) whose signatures are alike."""
+    both = pairs.join(prefixed(signs, "x_"), F.col("a") == F.col("x_id")).join(prefixed(signs, "y_"), F.col("b") == F.col("y_id"))
+    return both.filter(alike("x_", "y_", percent)).select("a", "b")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs(a, b) of similar lines; dealt out by b for the comparison."""
     lines = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
@@ -105,86 +129,79 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return sets.filter(similar(F.col("sa"), F.col("sb"), percent)).select("a", "b")
 
 
-def compared(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """links(a, b) between components c in each bucket, i, j of rows(bucket, i, j, id, c, own, among); where i and j differ, between blocks.
+def apart(rows: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b) of lines alike between components c in each bucket, i, j of rows(bucket, i, j, id, c, own); where i and j differ, between blocks."""
+    rows = rows.join(signs, "id")
+    x, y = (rows.select("bucket", "i", "j", *[F.col(c).alias(f"{p}{c}") for c in ("id", "c", "own", "n", *VALUES)]) for p in ("x_", "y_"))
+    due = (F.col("x_id") < F.col("y_id")) & (F.col("x_c") != F.col("y_c")) & ((x["i"] == x["j"]) | (F.col("x_own") != F.col("y_own")))
+    found = x.alias("x").join(y.alias("y"), (x["bucket"] == y["bucket"]) & (x["i"] == y["i"]) & (x["j"] == y["j"]) & due & alike("x_", "y_", percent))
+    return found.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
-    Of the buckets that two lines share, which are in ``among``, the least compares them.
-    """
-    kept = ("id", "c", "own", "among")
-    full = rows.join(texts, "id").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct(*kept, "line")).alias("lines"))
-    sets = F.transform("lines", lambda x: F.struct(*[x[k].alias(k) for k in kept], F.array_distinct(hashes(x["line"])).alias("s")))
-    full = full.select("bucket", (F.col("i") != F.col("j")).alias("across"), sets.alias("lines"))
-
-    def due(x: Column, y: Column) -> Column:
-        alone = (F.size(x["among"]) == 1) | (F.size(y["among"]) == 1)
-        apart = (x["id"] < y["id"]) & (x["c"] != y["c"]) & (~F.col("across") | (x["own"] != y["own"]))
-        return apart & may_link(F.size(x["s"]), F.size(y["s"]), percent) & (alone | (F.array_min(F.array_intersect(x["among"], y["among"])) == F.col("bucket")))
-
-    partners = lambda x, k: F.array_compact(F.transform("lines", lambda y, n: F.when(due(x, y), F.struct(k.alias("k"), n.alias("n")))))
-    pairs = full.select("lines", F.flatten(F.transform("lines", partners)).alias("due"))
-    # Pairs are rows where they are few for their lines; many stay in their block's row.
-    here = lambda p: similar(F.col("lines")[p["k"]]["s"], F.col("lines")[p["n"]]["s"], percent)
-    pairs = pairs.withColumn("due", F.when(F.size("due") > MANY * F.size("lines"), F.filter("due", here)).otherwise(F.col("due")))
-    pairs = pairs.select("lines", F.explode("due").alias("at"))
-    pairs = pairs.select(*[F.col("lines")[F.col(f"at.{v}")].alias(x) for x, v in (("x", "k"), ("y", "n"))])
-    return pairs.filter(similar(F.col("x.s"), F.col("y.s"), percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-
-
-def line_components(keys: DataFrame, exact: DataFrame, docs: DataFrame, scratch: Scratch, percent: int, block: int) -> DataFrame:
-    """(node, component) of the lines keys(id, keys), exact(id, first) that links join."""
-    keyed = keys.select("id", F.explode("keys").alias("bucket"))
+
+def joined(found: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """found(node, component) after further links(a, b)."""
+    for x in "ab":
+        links = links.join(found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    links = scratch.table(links.select("a", "b", "ca", "cb"), "links")
+    merged = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch)
+    ends = [links.select(F.col(x).alias("node"), F.col(f"c{x}").alias("component")) for x in "ab"]
+    return relabelled(scratch.table(found.unionByName(ends[0]).unionByName(ends[1]).distinct(), "labels"), merged, scratch)
+
+
+def line_components(signs: DataFrame, exact: DataFrame, docs: DataFrame, scratch: Scratch, percent: int, block: int) -> DataFrame:
+    """(node, component) of the lines signs(id, n, VALUES), exact(id, first) that links join."""
+    keyed = bands(signs).select("id", F.explode("keys").alias("bucket"))
+    keyed = keyed.repartition("bucket")
     each = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("total")).filter("n > 1")
     # Bands with the same lines are one.
-    each = scratch.table(each.groupBy("n", "low", "total").agg(F.min("bucket").alias("bucket")).drop("total"), "bands")
-    scratch.free()
-    rows = scratch.table(keyed.join(each, "bucket").select("bucket", "id", "n", "low"), "candidates")
-    scratch.drop(each, keys)
-    del keyed, each
+    each = each.groupBy("n", "low", "total").agg(F.min("bucket").alias("bucket")).drop("total")
+    rows = scratch.table(keyed.join(each.hint("merge"), "bucket").select("bucket", "id", "n", "low"), "candidates")
+    few = scratch.table(signs.join(rows.select("id").distinct(), "id", "left_semi"), "signatures")
+    scratch.drop(signs)
+    del keyed, each, signs
     scratch.free()
 
-    wanted = exact.join(rows.select("id").distinct(), "id", "left_semi").groupBy("first.doc_id", "first.row").agg(F.collect_set(F.struct("first.line_no", "id")).alias("at"))
+    wanted = exact.join(few.select("id"), "id", "left_semi").groupBy("id").agg(F.min("first").alias("first")).groupBy("first.doc_id", "first.row").agg(F.collect_set(F.struct("first.line_no", "id")).alias("at"))
     split = usable(docs).join(wanted, ["doc_id", "row"]).select(F.split("text", "\n", -1).alias("all"), "at")
     picked = split.select(F.explode(F.transform("at", lambda a: F.struct(a["id"].alias("id"), F.element_at("all", a["line_no"] + 1).alias("line")))).alias("x"))
-    texts = scratch.table(picked.select("x.*").dropDuplicates(["id"]), "texts")
+    texts = scratch.table(picked.select("x.*"), "texts")
     del wanted, split, picked
     scratch.free()
 
     first = rows.filter("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    links = scratch.table(confirmed(first, texts, percent), "links")
-    found = connected_components(links, scratch)
+    found = connected_components(scratch.table(confirmed(sifted(first, few, percent), texts, percent), "links"), scratch)
 
+    live = rows.filter("n > 2")
     for k in range(HUBS + 1):
-        big = rows.filter("n > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
+        big = live.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
         mixed = big.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.min(F.struct(F.xxhash64("id", F.lit(k)), "id", "c")).alias("hub")).filter("least < most")
         big = scratch.table(big.join(mixed.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.c").alias("hub_c")), "bucket"), "apart")
         parts = big.groupBy("bucket", "c").agg(F.count("*").alias("m"), F.first("n").alias("n")).agg(F.sum(F.col("m") * (F.col("n") - F.col("m")) / 2))
-        if k == HUBS or (parts.first()[0] or 0) <= 4 * big.count():
+        if k == HUBS or (parts.first()[0] or 0) <= MANY * big.count():
             break
         with_hub = big.filter("c != hub_c").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        links = scratch.table(links.unionByName(confirmed(with_hub, texts, percent)), "links")
-        found = connected_components(links, scratch)
-        scratch.drop(big)
+        found = joined(found, scratch.table(confirmed(sifted(with_hub, few, percent), texts, percent), "links"), scratch)
+        live = big.select("bucket", "id", "n")  # other bands are one component and stay so
     if not big.isEmpty():
-        sizes = big.join(texts.select("id", F.length("line").cast("long").alias("chars")), "id").groupBy("bucket").agg(F.sum("chars").alias("chars"), F.first("n").alias("n"))
-        sizes = sizes.select("bucket", F.ceil(F.greatest(F.col("n") / block, F.least("n", F.col("chars") / CHARS))).cast("int").alias("blocks"))
-        among = big.groupBy("id").agg(F.collect_list("bucket").alias("among"))
-        dealt = big.select("bucket", "id", "c").join(sizes, "bucket").join(among, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        dealt = big.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).select("bucket", "id", "c", F.col("blocks"))
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-        more = scratch.table(compared(dealt, texts, percent), "links")
+        pairs = scratch.table(apart(dealt, few, percent), "pairs")
+        more = scratch.table(confirmed(pairs, texts, percent), "links")
         if not more.isEmpty():
-            found = connected_components(links.unionByName(more), scratch)
-    scratch.drop(rows, texts, big)
+            found = joined(found, more, scratch)
+    scratch.drop(rows, few, texts, big)
     return found
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 75, block: int = BLOCK) -> DataFrame:
     """doc_id, row, gone: the numbers of the lines that another one stands for."""
-    keys = scratch.table(signed(lines_of(docs)), "keys")
+    signs = scratch.table(signed(lines_of(docs)), "signatures")
     scratch.free()
     lines, place = lines_of(docs).drop("line"), F.struct(*PLACE)
     exact = scratch.table(lines.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "exact")
-    components = line_components(keys, exact, docs, scratch, percent, block)
+    components = line_components(signs, exact, docs, scratch, percent, block)
     scratch.free()
     groups = exact.join(components.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 OR component IS NOT NULL")
     groups = groups.select("id", "id2", "first", F.coalesce("component", "id").alias("c"), F.when(F.col("component").isNull(), F.col("id2")).alias("c2"))

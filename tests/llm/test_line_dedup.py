@@ -148,3 +148,39 @@ def test_pairs_of_a_block_as_rows_or_in_its_row(spark, monkeypatch, many):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     gone = {r["doc_id"] for r in removed_lines(df, Scratch(spark, "t"), block=6).collect()}
     assert gone == {d for d, t in brute(rows).items() if not t}
+
+
+def test_unlike_lines_of_a_band_are_not_compared_in_full(spark, monkeypatch):
+    """Lines that share a sixth of their shingles often share a band; their signatures tell them apart, also in blocks."""
+    from refrain.llm import line_dedup
+
+    confirmed, met = line_dedup.confirmed, []
+
+    def noted(pairs, texts, percent):
+        met.append(pairs.count())
+        return confirmed(pairs, texts, percent)
+
+    monkeypatch.setattr(line_dedup, "confirmed", noted)
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    base = "".join(rng.choices(letters, k=100))
+    rows = [(i, base + "".join(rng.choices(letters, k=250))) for i in range(300)]
+    rows += [(1000 + i, t + "!") for i, t in rows[:5]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {r["doc_id"] for r in removed_lines(df, Scratch(spark, "t"), block=40).collect()}
+    assert gone == set(range(1000, 1005))
+    assert sum(met) < 5000
+
+
+def test_signatures_sift_pairs(spark):
+    """Pairs of unlike lines go before texts are read; those at the threshold and short ones stay."""
+    from refrain.llm.line_dedup import sifted, signed
+
+    rng = random.Random(4)
+    a = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300)) for _ in range(60)]
+    near = [x[: 300 - 293 // 4] for x in a]
+    lines = a + near + ["short line", "other one"]
+    signs = signed(spark.createDataFrame(list(enumerate(lines)), "id long, line string"))
+    pairs = [(i, 60 + i) for i in range(60)] + [(i, i + 1) for i in range(59)] + [(120, 121)]
+    got = {(r["a"], r["b"]) for r in sifted(spark.createDataFrame(pairs, "a long, b long"), signs, 75).collect()}
+    assert got == {(i, 60 + i) for i in range(60)} | {(120, 121)}
